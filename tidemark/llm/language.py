@@ -18,7 +18,7 @@ SCHEMA = "lang_pred string, score double"
 #: Letters that one round covers.
 ROUND = 1 << 20
 #: The pipeline's rule: a text that lies further than this from every language (score below it) is rejected.
-MIN_SCORE = 0.02
+MIN_SCORE = 0.1
 
 
 def _fold_table() -> np.ndarray:
