@@ -52,12 +52,10 @@ def gram_counts(data: np.ndarray, begin: np.ndarray, longest: int = LONGEST) ->
     if longest > 3:
         raise ValueError("three letters and a row number fill 64 bits")
     rows = len(begin) - 1
-    # one blank before each text, one after the last: rows stay apart
-    symbol = np.concatenate([np.concatenate([np.zeros(1, np.uint16), letters(data[a:b].tobytes())]) for a, b in zip(begin[:-1], begin[1:], strict=True)] + [np.zeros(1, np.uint16)])
-    # the texts' lengths in code points, found again from their bytes
+    blank = np.zeros(1, np.uint16)
+    symbol = np.concatenate([blank[:0], *[x for a, b in zip(begin[:-1], begin[1:], strict=True) for x in (blank, letters(data[a:b].tobytes()), blank)]])
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    size = lead[begin[1:]] - lead[begin[:-1]] + 1
-    row = np.append(np.repeat(np.arange(rows), size), max(rows - 1, 0))
+    row = np.repeat(np.arange(rows), lead[begin[1:]] - lead[begin[:-1]] + 2)
     code, keys = symbol.astype(np.uint64), []
     high = row.astype(np.uint64) << np.uint64(48)
     for n in range(1, longest + 1):
