@@ -13,7 +13,7 @@ bars AS (SELECT symbol, timestamp, bar_idx, open, greatest(open, close) * 1.005
 
 
 def r(x: str, n: int = 6) -> str:
-    return f"(round({x}, {n}) + 0.0)"
+    return f"(round(({x})::DOUBLE, {n}) + 0.0)"
 
 
 def over(keys: str, back: int | None = None, last: int = 0, order: str = "bar_idx") -> str:
