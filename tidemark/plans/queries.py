@@ -394,7 +394,7 @@ def live_diff(spark, sf):
     return rounded(stamped(_diff(spark, sf)))
 
 
-@query(O.query(*DIFF, select=_DIFF + " ORDER BY abs((live - backtested) / backtested) DESC, symbol, timestamp LIMIT 5"))
+@query(O.query(*DIFF, select=_DIFF + " ORDER BY round(abs((live - backtested) / backtested), 9) DESC, symbol, timestamp LIMIT 5"))
 def live_worst5(spark, sf):
     return rounded(stamped(live.worst(_diff(spark, sf))))
 

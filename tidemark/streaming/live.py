@@ -68,7 +68,8 @@ def equity_diff(live: DataFrame, backtested: DataFrame) -> DataFrame:
 
 
 def worst(diff: DataFrame, n: int = 5) -> DataFrame:
-    return diff.orderBy(F.abs("pct_diff").desc(), "symbol", "timestamp").limit(n)
+    """The rows that differ most; differences equal to nine places go by symbol and time."""
+    return diff.orderBy(F.round(F.abs("pct_diff"), 9).desc(), "symbol", "timestamp").limit(n)
 
 
 def run_stream(bars: DataFrame, strategy, history_path: str, out_path: str, checkpoint: str, **costs):
