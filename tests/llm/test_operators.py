@@ -291,3 +291,27 @@ def test_pipeline(spark, tmp_path, docs):
     ids = sorted(after)
     want = {ids[c] for _, c in brute_components(5, 80, [after[i] for i in ids]).values()}
     assert kept == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components(spark, seed):
+    """Components, at once and after more edges, against union by hand; loops and repeated edges are there."""
+    from tidemark.llm.components import components, joined
+
+    draw = random.Random(seed)
+    first = [(draw.randrange(40), draw.randrange(40)) for _ in range(22)] + [(3, 3), (50, 51), (50, 51), *((60 + k, 61 + k) for k in range(9))]
+    more = [(draw.randrange(45), draw.randrange(45)) for _ in range(6)] + [(60, 51), (80, 81)]
+
+    def want(edges):
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in root:
+            for u, v in edges:
+                if u != v:
+                    root[u] = root[v] = min(root[u], root[v])
+        return sorted(root.items())
+
+    table = lambda e: spark.createDataFrame(e, "u long, v long")
+    label = components(table(first))
+    assert sorted(map(tuple, label.collect())) == want(first)
+    assert sorted(map(tuple, joined(label, table(more)).collect())) == want(first + more)
+    assert components(table([])).count() == 0

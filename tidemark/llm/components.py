@@ -23,6 +23,12 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every end is a centre, or has one edge to a centre."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of an edge (u, v); component is the least id that can be reached.
 
@@ -32,13 +38,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now = C.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign[0] == 0 or sign == seen:
-            break
-        seen = sign
+    while not _settled(now):
         after = C.written(_small(_large(now)), "edges")
         C.forget(spark, now)
         now = after
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components of ``label`` (id, component) after more edges (u, v).
+
+    Only the edges between components take part in the rounds, as edges of the components' names.
+    """
+    def named(rows: DataFrame, end: str) -> DataFrame:
+        return rows.join(label.select(F.col("id").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+
+    top = components(named(named(edges.select("u", "v"), "u"), "v"))
+    moved = label.join(top.select(F.col("id").alias("component"), F.col("component").alias("_c")), "component", "left")
+    fresh = top.join(label.select("id"), "id", "left_anti")
+    return moved.select("id", F.coalesce("_c", "component").alias("component")).unionAll(fresh)

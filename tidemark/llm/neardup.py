@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 
 #: Minima of a signature; minima of a band (32 bands: at a likeness of 0.8, 3 pairs in a million share none; at 0.85, 7 in a thousand million).
 MINIMA, BAND = 160, 5
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     texts = C.written(texts, "texts")
     best = stars.groupBy("id").agg(F.max(F.struct("near", (-F.col("centre")).alias("c"))).alias("b")).select(F.col("id").alias("u"), (-F.col("b.c")).alias("v"))
     links = C.written(confirmed(best, texts, n, percent), "links")
-    label = components(links)
+    label = C.written(components(links), "labels")
     # centres not confirmed yet, between components
     def labelled(rows: DataFrame, by: str, name: str) -> DataFrame:
         return rows.join(label.select(F.col("id").alias(by), F.col("component").alias("_c")), by, "left").withColumn(name, F.coalesce("_c", by)).drop("_c")
@@ -283,7 +283,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     rest = stars.select(F.col("id").alias("u"), F.col("centre").alias("v")).join(best, ["u", "v"], "left_anti")
     rest = labelled(labelled(rest, "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v")
     more = C.written(confirmed(rest, texts, n, percent), "links")
-    label = components(links.unionAll(more))
+    if not more.isEmpty():
+        label = C.written(joined(label, more), "labels")
     # buckets of three or more that still hold several components
     large = labelled(crowded.where("m > 2"), "id", "comp")
     open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     last = active.join(texts, "id").repartition("task").sortWithinPartitions("task").select("task", "side", "band", "id", "comp", "sig", "keys", "text").mapInArrow(_resolve(least, n, percent), "u long, v long")
     last = C.written(last, "links")
     if not last.isEmpty():
-        label = components(links.unionAll(more).unionAll(last))
+        label = C.written(joined(label, last), "labels")
     label = labelled(classes.select("id", "set_a", "set_b"), "id", "component").select("set_a", "set_b", "component")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(label, ["set_a", "set_b"], "left")
     component = F.coalesce("component", F.col("doc_id").cast("long"))
