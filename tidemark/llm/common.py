@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one round of numpy work covers (a longer text is one round).
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = 1 << 18
 #: The white space that separates words: space and the five controls from tab on.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

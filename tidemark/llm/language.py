@@ -16,7 +16,7 @@ from tidemark.llm import common as C
 PROFILE, LONGEST, SAMPLE = 300, 3, 3000
 SCHEMA = "lang_pred string, score double"
 #: Letters that one round covers.
-ROUND = 1 << 20
+ROUND = 1 << 17
 #: The pipeline's rule: a text that lies further than this from every language (score below it) is rejected.
 MIN_SCORE = 0.1
 
