@@ -17,6 +17,8 @@ from tidemark.llm.components import components, joined
 MINIMA, BAND = 160, 5
 #: Bits kept of a minimum; standard errors by which an estimate may fall short before a pair is passed over; members of a block.
 BITS, SLACK, MEMBERS = 4, 5.0, 1024
+#: Parts of a bucket, by a hash of its members, when it meets what was counted of it (bits of a long).
+SALTS = 32
 _rng = np.random.default_rng(7)
 _ODD = _rng.integers(1, 2**63, MINIMA, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, MINIMA, dtype=np.int64).astype(np.uint64)
@@ -238,6 +240,11 @@ def _resolve(least: float, n: int, percent: int):
     return run
 
 
+def per_salt(counted: DataFrame) -> DataFrame:
+    """A row for each part of a bucket that has members; ``salts`` has a bit for each."""
+    return counted.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> shiftright(salts, s) & 1 = 1)"))).drop("salts")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose sets of n-word shingles are ``percent`` alike.
 
@@ -262,9 +269,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     classes = C.written(classes, "classes")
     # buckets of two classes or more, each with a centre
-    entries = classes.select("id", F.posexplode("keys").alias("band", "key"))
-    heads = entries.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"].alias("centre")).where("m > 1")
-    crowded = C.written(entries.join(heads, "key"), "buckets")
+    salts = F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
+    entries = classes.select("id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("keys").alias("band", "key"))
+    heads = entries.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"].alias("centre"), salts).where("m > 1")
+    crowded = C.written(entries.join(per_salt(heads), ["key", "salt"]), "buckets")
     stars = crowded.where("id <> centre").select("id", "centre").distinct()
     sigs = classes.select("id", "sig")
     stars = stars.join(sigs, "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
@@ -287,8 +295,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int
         label = C.written(joined(label, more), "labels")
     # buckets of three or more that still hold several components
     large = labelled(crowded.where("m > 2"), "id", "comp")
-    open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    large = large.join(open_, "key").join(classes.select("id", "sig", "keys"), "id")
+    open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), salts).where("lo <> hi").select("key", "salts")
+    large = large.join(per_salt(open_), ["key", "salt"]).join(classes.select("id", "sig", "keys"), "id")
     blocks = F.ceil(F.col("m") / members).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     other = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
