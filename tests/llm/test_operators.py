@@ -281,6 +281,51 @@ def test_suffix_tree_sums_to_one():
     assert len(tree.contexts[3]) > 0 and tree.log10(symbols, real).sum() / real.sum() > -0.5
 
 
+def test_word_pairs(docs, none):
+    tokens_ = [[*WORD.findall((t or "").translate(LOW)), "\n"] for t in texts()]
+    key = {w: 0 if w == "\n" else int(C.hash_runs(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for x in tokens_ for w in x}
+    c = collections.Counter(w for x in tokens_ for w in x)
+    some = sorted((w for w in c if c[w] > 1), key=key.get)
+    keys = np.array([key[w] for w in some], np.uint64)
+    want = collections.Counter(p for x in tokens_ for p in zip(["\n", *x], x) if min(c[p[0]], c[p[1]]) > 1)
+    told = docs.sparkSession.sparkContext.broadcast(keys)
+    assert {(some[r["key"] >> 32], some[r["key"] & 0xFFFFFFFF]): r["n"] for r in suffixtree.pair_counts(docs, told, flush=50).collect()} == dict(want)
+    assert suffixtree.pair_counts(none, told).count() == 0
+
+
+def test_word_states_sum_to_one():
+    r = random.Random(1)
+    follows = {w: r.sample(range(1, 60), 4) for w in range(60)}
+    text, c, pairs = [0], collections.Counter(), collections.Counter()
+    while len(text) < 20_000:
+        text.append(0 if r.random() < 0.05 else r.choice(follows[text[-1]]) if text[-1] % 3 else r.randrange(1, 60))
+    text.append(0)
+    c.update(text[1:])
+    pairs.update(zip(text, text[1:]))
+    keys = np.arange(60, dtype=np.uint64)
+    kept = {p: n for p, n in pairs.items() if n > 1}
+    states = suffixtree.WordStates(keys, np.array([c[w] for w in range(60)]), np.array([a << 32 | b for a, b in kept]), np.array([*kept.values()]), len(text) - 1)
+    p0 = np.log([c[w] / (len(text) - 1) for w in range(60)])
+    retained = set()
+    for w in range(60):
+        two = np.array([[w, x] for x in range(60)]).ravel()
+        p = states.log(p0[two], two)[1::2]
+        assert np.exp(p).sum() == pytest.approx(1)
+        if not np.allclose(p, p0):
+            retained.add(w)
+    total, gains = len(text) - 1, {}
+    for w in range(60):
+        after = {x: n for (v, x), n in kept.items() if v == w}
+        rest = 1 - sum(n - 0.75 for n in after.values()) / c[w]
+        gains[w] = sum(n * np.log(((n - 0.75) / c[w] + rest * (c[x] - 0.75) / total) / ((c[x] - 0.75) / total)) for x, n in after.items()) + (c[w] - sum(after.values())) * np.log(rest)
+    assert retained == {w for w in gains if gains[w] >= suffixtree.GAIN} and retained >= {w for w in range(60) if w % 3}
+    middle = sorted(gains.values())[30]
+    some = suffixtree.WordStates(keys, np.array([c[w] for w in range(60)]), np.array([a << 32 | b for a, b in kept]), np.array([*kept.values()]), total, middle)
+    assert {w for w in range(60) if some.rest[w]} == {w for w in gains if gains[w] >= middle * (1 - 1e-9)}
+    empty = suffixtree.WordStates(keys[:0], np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 0)
+    assert empty.log(p0, np.full(60, -1)) is p0
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline as P
 

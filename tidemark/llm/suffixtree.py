@@ -14,6 +14,8 @@ from tidemark.llm.language import held_out
 
 #: Symbols of the longest context; least share of all symbols that a string must have to count (so a depth has 1/LEAST strings at most).
 DEPTH, LEAST = 4, 4e-6
+#: Least share of all tokens that a word and the word before it must have together to count (so there are 1/PAIRS such pairs at most).
+PAIRS = 2e-6
 #: Nats by which a context's distribution must improve on its parent's, over all its occurrences; discount of a token's count.
 GAIN, DISCOUNT = 12.0, 0.75
 #: Bytes of text of a scoring block.
@@ -75,36 +77,109 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(key[at], np.add.reduceat(n, at))] if len(at) else []
 
 
+class _Sums:
+    """Counts of keys by kind, added up inside a task; what outgrows ``flush`` entries goes out as it is."""
+
+    def __init__(self, flush: int):
+        self.flush, self.held = flush, {}
+
+    def add(self, kind: int, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = self.held.setdefault(kind, [])
+        held += _added([(key, np.ones(len(key), np.int64))])
+        if sum(len(k) for k, _ in held) > self.flush:
+            self.held[kind] = _added(held)
+            if len(self.held[kind][0][0]) > self.flush // 2:
+                yield from self.out(kind)
+
+    def out(self, kind: int) -> Iterator[pa.RecordBatch]:
+        held = self.held.pop(kind, [])
+        for key, n in _added(held) if held else []:
+            for a in range(0, len(key), 200_000):
+                k = key[a : a + 200_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 200_000])], names=["kind", "key", "n"])
+
+
 def corpus_counts(docs: DataFrame, depth: int = DEPTH, flush: int = 4_000_000) -> DataFrame:
     """kind (0: word, 1: string of depth+1 symbols), key, n over all texts; sums are made in tasks first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
-
-        def out(kind: int) -> Iterator[pa.RecordBatch]:
-            for key, n in _added(held[kind]) if held[kind] else []:
-                for a in range(0, len(key), 200_000):
-                    k = key[a : a + 200_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 200_000])], names=["kind", "key", "n"])
-            held[kind] = []
-
+        sums = _Sums(flush)
         for batch in batches:
             data, begin = C.flat(batch.column("text"))
             for a, b in C.rounds(begin):
                 symbols, real, _, _, key, _ = stream(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a], depth)
-                held[0] += _added([(key, np.ones(len(key), np.int64))])
-                code = grams(symbols, real, depth)
-                held[1] += _added([(code, np.ones(len(code), np.int64))])
-                for kind in (0, 1):
-                    if sum(len(k) for k, _ in held[kind]) > flush:
-                        held[kind] = _added(held[kind])
-                        if len(held[kind][0][0]) > flush // 2:
-                            yield from out(kind)
-        yield from out(0)
-        yield from out(1)
+                yield from sums.add(0, key)
+                yield from sums.add(1, grams(symbols, real, depth))
+        yield from sums.out(0)
+        yield from sums.out(1)
 
     return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(docs: DataFrame, keys, flush: int = 4_000_000) -> DataFrame:
+    """key, n of each word that follows another (an end: before a text's first word), both among the broadcast ``keys``.
+
+    A key holds the numbers of the two among ``keys``: of the one before in the high half, of the word in the low one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(flush)
+        for batch in batches:
+            data, begin = C.flat(batch.column("text"))
+            for a, b in C.rounds(begin):
+                part = data[begin[a] : begin[b]]
+                start, end, row = C.words(part, begin[a : b + 1] - begin[a])
+                now = np.full(len(start) + b - a, _END_KEY)  # each text's words, then its end
+                now[np.arange(len(start)) + row] = C.hash_runs(C.LOWER[part], start, end)
+                now = numbers(keys.value, now)
+                before = np.concatenate([numbers(keys.value, np.array([_END_KEY])), now[:-1]])
+                both = (now >= 0) & (before >= 0)
+                yield from sums.add(0, (before[both] << 32 | now[both]).view(np.uint64))
+        yield from sums.out(0)
+
+    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def numbers(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among ascending ``keys``, -1 where it is not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+class WordStates:
+    """The tree's states over words: the empty context, and each word that is retained as one.
+
+    keys, n: frequent words, ascending, and their counts; pairs, m: counts of pairs of them (see pair_counts); total: tokens.
+    A word is retained if over all its occurrences the distribution after it gains GAIN nats on the one
+    over tokens.  A counted pair has its discounted share; the rest goes by the tokens' distribution.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, m: np.ndarray, total: int, gain: float = GAIN):
+        order = np.argsort(pairs)
+        pairs, m = pairs[order], m[order]
+        before, now = pairs >> 32, pairs & 0xFFFFFFFF
+        seen, kinds = np.bincount(before, m, len(keys)), np.bincount(before, minlength=len(keys))
+        rest = 1 - (seen - DISCOUNT * kinds) / n
+        share = (m - DISCOUNT) / n[before]
+        parent = (n[now] - DISCOUNT) / max(total, 1)
+        better = np.bincount(before, m * np.log(share / parent + rest[before]), len(keys)) + (n - seen) * np.log(rest)
+        keep = (kinds > 0) & (better >= gain)
+        self.keys, self.rest = keys, np.where(keep, np.log(rest), 0.0)
+        self.pairs, self.share = pairs[keep[before]], np.log(share[keep[before]])
+
+    def log(self, tokens: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Natural logs of probabilities after the word before, from those (``tokens``) without context; ``number``: of each token among keys, or -1."""
+        if not len(self.keys) or not len(number):
+            return tokens
+        before = np.concatenate([numbers(self.keys, np.array([_END_KEY])), number[:-1]])
+        out = tokens + np.where(before >= 0, self.rest[before], 0)
+        at = np.flatnonzero((before >= 0) & (number >= 0))
+        found = numbers(self.pairs, before[at] << 32 | number[at])
+        at, found = at[found >= 0], found[found >= 0]
+        out[at] = np.logaddexp(out[at], self.share[found])
+        return out
+
+
 class SuffixTree:
     """States (retained contexts) with smoothed next-symbol distributions.
 
@@ -204,18 +279,30 @@ def learn_tree(counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> S
     return SuffixTree([(key[d == k].view(np.uint64), n[d == k]) for k in range(depth + 1)])
 
 
+def learn_words(docs: DataFrame, words: DataFrame, total: int, least: float = PAIRS) -> WordStates:
+    """States over words.  A pair with a share of ``least`` consists of words with one, so only those are told to the tasks: 1/least at most, and as many pairs."""
+    enough = max(2.0, least * total)
+    got = words.where(F.col("n") >= enough).toArrow()
+    order = np.argsort(keys := got["key"].to_numpy().view(np.uint64))
+    keys, n = keys[order], got["n"].to_numpy()[order]
+    told = docs.sparkSession.sparkContext.broadcast(keys)
+    pairs = pair_counts(docs, told).where(F.col("n") >= enough).toArrow()
+    return WordStates(keys, n, pairs["key"].to_numpy(), pairs["n"].to_numpy(), total)
+
+
 def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
     ``learned_from``: a condition on rows; the model comes from those that meet it.  The model has the
     base's V + 1 outcomes: the tokens seen in training, and one for any other.  Discounts free a mass of
     DISCOUNT * V / N.  A seen token has its discounted share, plus half that mass times the suffix tree's
-    probability of its spelling given what stands before it; the unknown token has the other half.  The
-    outcomes add to one at most.
+    probability of its spelling given what stands before it; the unknown token has the other half.  After
+    a word that is a state, the pairs counted have their discounted shares, and this distribution the
+    rest.  The outcomes add to one at most.
 
     Word counts and strings are summed in tasks, then by key.  Texts are dealt once into blocks of about
     ``block_bytes`` by a hash; each block asks for the counts of its distinct words, so neither
-    vocabulary nor texts are broadcast; the tree is (at most 1/LEAST states a depth).
+    vocabulary nor texts are broadcast; the tree is (at most 1/LEAST states a depth, 1/PAIRS pairs).
     Null text is empty (one token, the end); equal rows are scored alike; nothing to learn from:
     the uniform tree scores, base_score 0; empty table: empty result.
     """
@@ -225,6 +312,7 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
     words = counts.where("kind = 0").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = spark.sparkContext.broadcast(learn_tree(counts, depth))
+    after = spark.sparkContext.broadcast(learn_words(rows.where(~F.col("held_out")), words, total))
     blocks = max(1, -(-C.text_bytes(docs) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
@@ -248,18 +336,21 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
         order = np.argsort(keys := known["key"].to_numpy().view(np.uint64))
         keys, n = keys[order], known["n"].to_numpy()[order]
         keys, n = np.append(keys, np.uint64(2**64 - 1)), np.append(n, 0)
+        place = numbers(after.value.keys, keys)
         data, begin = C.flat(texts["text"])
         out = []
         for a, b in C.rounds(begin):
             symbols, real, token, of, key, _ = stream(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a], depth)
             at = np.searchsorted(keys, key)
-            c = np.where(keys[at] == key, n[at], 0)
+            known_ = keys[at] == key
+            c = np.where(known_, n[at], 0)
             spelled = np.add.reduceat(tree.value.log10(symbols, real), token) if len(token) else np.zeros(0)
             if total:
                 with np.errstate(divide="ignore"):
                     seen = np.log(np.maximum(c - DISCOUNT, 0) / total)
                 free = np.log(DISCOUNT * kinds / total / 2)  # half to spellings of known tokens, half to the unknown token
-                p = np.where(c > 0, np.logaddexp(seen, free + spelled * np.log(10)), free) / np.log(10)
+                p = np.where(c > 0, np.logaddexp(seen, free + spelled * np.log(10)), free)
+                p = after.value.log(p, np.where(known_, place[at], -1)) / np.log(10)
             else:
                 p = spelled
             base = np.log10((c + 1) / (total + kinds + 1))
