@@ -317,7 +317,7 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[np.ndarray]] = {}  # of each block: the distinct keys so far, and later ones to be merged into them
         for batch in batches:
             block = batch.column("block").to_numpy()
             data, begin = C.flat(batch.column("text"))
@@ -327,9 +327,11 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
                 key = C.hash_runs(C.LOWER[part], start, end)
                 of = block[a:b][row]
                 for x in np.unique(of):
-                    held[x] = [np.unique(np.concatenate([*held.get(x, []), key[of == x]]))]
-        for x, (key,) in held.items():
-            key = np.append(key, _END_KEY)
+                    held.setdefault(x, [np.zeros(0, np.uint64)]).append(np.unique(key[of == x]))
+                    if sum(map(len, held[x][1:])) > max(1 << 18, len(held[x][0])):
+                        held[x] = [np.unique(np.concatenate(held[x]))]
+        for x, parts in held.items():
+            key = np.append(np.unique(np.concatenate(parts)), _END_KEY)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), x, np.int32)), pa.array(key.view(np.int64))], names=["block", "key"])
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
