@@ -74,3 +74,25 @@ def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
     ends = df.agg(F.min(c).alias("a"), F.max(c).alias("b"))
     at = F.least(F.floor(F.try_divide(F.col(c) - F.col("a"), F.col("b") - F.col("a")) * bins), F.lit(bins - 1))
     return df.crossJoin(F.broadcast(ends)).groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))  # ends: one row
+
+
+def markers(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """Bars where a run buys or sells, for a chart over prices; a first bar counts its whole position."""
+    change = F.col("position") - F.coalesce(F.lag("position").over(S.by(keys)), F.lit(0.0))
+    return ledger.withColumn("change", change).where("change <> 0").select(*keys, "bar_idx", "close", F.when(F.col("change") > 0, "buy").otherwise("sell").alias("side"))
+
+
+def by_mode(**summaries: DataFrame) -> DataFrame:
+    """Summaries of several ways to run, one under the other, each row with its way."""
+    tables = [df.withColumn("mode", F.lit(name)) for name, df in summaries.items()]
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def ensemble_turnover(summary_: DataFrame, ensemble: str, members: Sequence[str]) -> DataFrame:
+    """Whether an ensemble trades more than its busiest member, a symbol."""
+    mine = F.max(F.when(F.col("strategy") == ensemble, F.col("trade_count")))
+    most = F.max(F.when(F.col("strategy").isin(list(members)), F.col("trade_count")))
+    return summary_.groupBy("symbol").agg(mine.alias("ensemble_trades"), most.alias("most_of_members"), (mine > most).alias("trades_more"))

@@ -402,3 +402,35 @@ def live_worst5(spark, sf):
 @query(O.query("sy AS (SELECT i AS bar_idx, CASE WHEN floor(i / 90) % 2 = 0 THEN 0.0015 ELSE -0.0015 END + 0.02 * " + O.normal("'42:c:' || i") + " AS x FROM range(730) q(i))", "sc AS (SELECT *, 100 * exp(sum(x) OVER (ORDER BY bar_idx)) AS close FROM sy)", "so AS (SELECT *, coalesce(lag(close) OVER (ORDER BY bar_idx), 100.0) AS open, abs(" + O.normal("'42:w:' || bar_idx") + ") * 0.02 / 2 AS wick FROM sc)", select=f"SELECT bar_idx, {O.r('open')} AS open, {O.r('greatest(open, close) * (1 + wick)')} AS high, {O.r('least(open, close) * (1 - wick)')} AS low, {O.r('close')} AS close, {O.r('100 + 900 * ' + O.unit(chr(39) + '42:v:' + chr(39) + ' || bar_idx'))} AS volume FROM so"))
 def synthetic(spark, sf):
     return rounded(B.synthetic_bars(spark).select("bar_idx", "open", "high", "low", "close", "volume"))
+
+
+@query(O.query(*MA_LEDGER, f"ch AS (SELECT *, position - coalesce(lag(position) {O.over('symbol')}, 0) AS change FROM lg)", select=f"SELECT symbol, bar_idx, {O.r('close')} AS close, CASE WHEN change > 0 THEN 'buy' ELSE 'sell' END AS side FROM ch WHERE change <> 0"))
+def plot_markers(spark, sf):
+    return rounded(E.markers(one_ledger(spark, sf), ("symbol",)))
+
+
+_VOTE = f"SELECT symbol, bar_idx, timestamp, close, 'vote' AS strategy, CASE WHEN {_MA} + {O.tsmom(LOOK)} + 1.0 >= 2 THEN 1.0 ELSE 0.0 END AS signal FROM bars"
+
+
+@query(O.query(O.BARS, f"sg AS ({_TRIO} UNION ALL {_VOTE})", O.ledger("sg", "lg", RUN), "nt AS (SELECT symbol, strategy, count(*) FILTER (WHERE turnover > 0) AS t FROM lg GROUP BY 1, 2)", select="SELECT symbol, max(t) FILTER (strategy = 'vote') AS ensemble_trades, max(t) FILTER (strategy <> 'vote') AS most_of_members, max(t) FILTER (strategy = 'vote') > max(t) FILTER (strategy <> 'vote') AS trades_more FROM nt GROUP BY 1"))
+def m_ensemble_turnover(spark, sf):
+    vote = G.Voting(TRIO, 2)
+    done = L.ledger(L.signals(bars(spark, sf), (*TRIO, vote)), E.RUN)
+    return E.ensemble_turnover(E.summary(done), vote.name, [s.name for s in TRIO])
+
+
+_STITCHED = ("jn AS (SELECT te.* FROM te JOIN ch USING (symbol, fold, param_id))", "eq AS (SELECT symbol, 'walk_forward' AS strategy, global_idx AS bar_idx, strategy_return, turnover, 10000.0 * product(1 + strategy_return) OVER (PARTITION BY symbol ORDER BY global_idx) AS equity FROM jn)", "st AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS drawdown FROM eq)")
+
+
+@query(O.query(*SELECT_CTE, *_fold_runs("test", "te"), *_STITCHED, *TRIO_LEDGER[1:], select=f"SELECT *, 'plain' AS mode FROM ({O.summary('lg', RUN)}) UNION ALL SELECT *, 'walk_forward' AS mode FROM ({O.summary('st', RUN)})"))
+def m_by_mode(spark, sf):
+    flat = V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)[1].withColumn("strategy", F.lit("walk_forward"))
+    return rounded(E.by_mode(plain=E.summary(trio_ledger(spark, sf)), walk_forward=E.summary(flat)))
+
+
+@query(O.query(O.BARS, "fn AS (SELECT symbol, min(timestamp) AS b FROM bars WHERE bar_idx >= 100 AND bar_idx < (SELECT max(bar_idx) FROM bars x WHERE x.symbol = bars.symbol) GROUP BY 1)", "ls AS (SELECT symbol, max(timestamp) AS a FROM bars WHERE bar_idx < 95 GROUP BY 1)", select="SELECT symbol, strftime(a, '%Y-%m-%d %H:%M:%S') AS last_seen, strftime(b, '%Y-%m-%d %H:%M:%S') AS first_new, (epoch(b) - epoch(a))::BIGINT AS seconds FROM fn JOIN ls USING (symbol) WHERE epoch(b) - epoch(a) > 3600"))
+def live_gaps(spark, sf):
+    df = bars(spark, sf)
+    seen = df.where("bar_idx < 95")
+    found = live.gaps(live.new_bars(df.where("bar_idx >= 100"), seen), seen, live.timeframe_seconds("1h"))
+    return found.select("symbol", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_seen", "first_new")], "seconds")

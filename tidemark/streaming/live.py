@@ -45,6 +45,13 @@ def new_bars(window: DataFrame, seen: DataFrame) -> DataFrame:
     return without_forming(window).join(last, "symbol", "left").where("_seen is null or timestamp > _seen").drop("_seen")
 
 
+def gaps(fresh: DataFrame, seen: DataFrame, seconds: float) -> DataFrame:
+    """Symbols whose first new bar is more than one interval after the last seen one: bars are missing between."""
+    first = fresh.groupBy("symbol").agg(F.min("timestamp").alias("first_new")).join(seen.groupBy("symbol").agg(F.max("timestamp").alias("last_seen")), "symbol")
+    apart = F.unix_timestamp("first_new") - F.unix_timestamp("last_seen")
+    return first.withColumn("seconds", apart).where(F.col("seconds") > seconds).select("symbol", "last_seen", "first_new", "seconds")
+
+
 def merged(history: DataFrame, fresh: DataFrame) -> DataFrame:
     """History and new bars, the later copy of a timestamp winning."""
     both = history.withColumn("_v", F.lit(0)).unionByName(fresh.withColumn("_v", F.lit(1)))
