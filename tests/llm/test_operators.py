@@ -271,6 +271,46 @@ def test_suffix_tree(docs, none):
     assert suffixtree.suffix_tree_scores(none, ~held_out(none, 7, 2)).count() == 0
 
 
+def test_suffix_tree_keeps_rare_pairs(spark):
+    """Pairs count from two occurrences on, however large the corpus; before, a pair needed 8 of four million tokens."""
+    data = [(k, "aa bb " * 500_000) for k in range(4)] + [(k, "zig zag") for k in range(4, 8)] + [(8, "zig zag"), (9, "zag zig")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(suffixtree.suffix_tree_scores(df, F.col("doc_id") < 8))
+    assert got[8].score > -1 and got[9].score < -8
+
+
+def test_suffix_tree_keeps_rare_strings(spark):
+    """Strings count at any share: 'qz' is one of five million symbols here, and its context still foretells it."""
+    code = lambda *b: int.from_bytes(bytes(b), "little")
+    common = [(1, code(97, 97, 97, 97, 97), 5_000_000)]
+    rare = [(1, code(122, 113, 97, 97, 97), 6), (1, code(113, 97, 97, 97, 97), 6)]
+    tree = suffixtree.learn_tree(spark.createDataFrame(common + rare, "kind int, key long, n long"))
+    symbols = np.frombuffer(b"aaaaqz", np.uint8)
+    assert tree.log10(symbols, np.arange(6) == 5)[5] > -0.5
+
+
+def test_word_states_as_tables(docs, spark):
+    """The test of states over tables against that over arrays, and what a block is told."""
+    tokens_ = [[*WORD.findall((t or "").translate(LOW)), "\n"] for t in texts()]
+    c = collections.Counter(w for x in tokens_ for w in x)
+    some = sorted(w for w in c if c[w] > 1)
+    place = {w: k for k, w in enumerate(some)}
+    pairs = collections.Counter(place[v] << 32 | place[w] for x in tokens_ for v, w in zip(["\n", *x], x) if v in place and w in place)
+    pairs = {p: m for p, m in pairs.items() if m > 1}
+    keys, n, p, m = np.arange(len(some), dtype=np.uint64), np.array([c[w] for w in some]), np.array([*pairs]), np.array([*pairs.values()])
+    want = suffixtree.WordStates(keys, n, p, m, sum(c.values()))
+    words = spark.createDataFrame([(k, int(n[k]), k) for k in range(len(some))], "key long, n long, number long")
+    got = {r.number: r.rest for r in suffixtree.word_states(words, spark.createDataFrame([(a, b) for a, b in pairs.items()], "pair long, m long"), sum(c.values())).collect()}
+    assert got == pytest.approx({k: want.rest[k] for k in range(len(some)) if want.rest[k]}) and len(got) > 20
+    shuffled = np.random.default_rng(1).permutation(len(some))  # a block's words are not in the order of their numbers
+    told = suffixtree.WordStates.told(keys, n[shuffled], shuffled, np.array([got.get(k, np.nan) for k in shuffled]), p, m)
+    before = np.random.default_rng(2).integers(0, len(some), 500)
+    back = np.argsort(shuffled)
+    want.keys = told.keys = keys[:0] if not len(keys) else keys + np.uint64(1)  # no end among them
+    tokens__ = np.full(500, -9.0)
+    assert np.allclose(told.log(tokens__, back[before]), want.log(tokens__, before))
+
+
 def test_suffix_tree_sums_to_one():
     text = np.frombuffer(b"the cat sat on the mat. the dog sat on the log. " * 40, np.uint8)
     symbols, real, *_ = suffixtree.stream(text, np.array([0, len(text)]), 4)

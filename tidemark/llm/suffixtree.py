@@ -6,23 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 from tidemark.llm.language import held_out
 
-#: Symbols of the longest context; least share of all symbols that a string must have to count (so a depth has 1/LEAST strings at most).
-DEPTH, LEAST = 4, 4e-6
-#: Least share of all tokens that a word and the word before it must have together to count (so there are 1/PAIRS such pairs at most).
-PAIRS = 2e-6
+#: Symbols of the longest context (every string counts; their number is limited by the symbols, not by the corpus).
+DEPTH = 4
+#: Times that a word and the word before it must occur together to count, at any size of the corpus.
+TWICE = 2
 #: Nats by which a context's distribution must improve on its parent's, over all its occurrences; discount of a token's count.
 GAIN, DISCOUNT = 12.0, 0.75
 #: Bytes of text of a scoring block.
 BLOCK_BYTES = 8 << 20
 _SIDE = 64  # symbols with a column of their own: the 62 most frequent bytes, the rest as one
+_SLICE = 1 << 15  # contexts whose distributions are held at once
 _END = 10  # the byte that no word has: the end token
 _END_KEY = np.uint64(0)
+_PAIR = -2  # in place of a word's number: the row is a pair's
 
 
 def stream(data: np.ndarray, begin: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +169,18 @@ class WordStates:
         self.keys, self.rest = keys, np.where(keep, np.log(rest), 0.0)
         self.pairs, self.share = pairs[keep[before]], np.log(share[keep[before]])
 
+    @classmethod
+    def told(cls, keys: np.ndarray, n: np.ndarray, number: np.ndarray, rest: np.ndarray, pairs: np.ndarray, m: np.ndarray) -> WordStates:
+        """What a block needs of word_states: its words, ascending, with counts, numbers and rest (NaN: no state), and its pairs, by those numbers, with counts."""
+        out = cls.__new__(cls)
+        order = np.argsort(number, kind="stable")
+        before, now = (order[numbers(number[order], x)] for x in (pairs >> 32, pairs & 0xFFFFFFFF))  # a block's pairs are of its words
+        keep = ~np.isnan(rest[before])
+        pairs, share = before[keep] << 32 | now[keep], np.log((m[keep] - DISCOUNT) / n[before[keep]])
+        order = np.argsort(pairs)
+        out.keys, out.rest, out.pairs, out.share = keys, np.nan_to_num(rest), pairs[order], share[order]
+        return out
+
     def log(self, tokens: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Natural logs of probabilities after the word before, from those (``tokens``) without context; ``number``: of each token among keys, or -1."""
         if not len(self.keys) or not len(number):
@@ -201,7 +215,7 @@ class SuffixTree:
         share[_SIDE - 2], share[_SIDE - 1] = (256 - len(top)) / 256, 0
         self.rest = np.log10(1 / (256 - len(top)))
 
-        def table(d: int) -> tuple[np.ndarray, np.ndarray]:
+        def table(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             code, n = counts[d]
             col, ok = self.column[(code & np.uint64(255)).astype(np.int64)], np.ones(len(code), bool)
             ctx = np.zeros(len(code), np.int64)
@@ -209,36 +223,48 @@ class SuffixTree:
                 c = self.column[((code >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)]
                 ok &= c < _SIDE - 2
                 ctx += c.astype(np.int64) * _SIDE ** (k - 1)
-            names, of = np.unique(ctx[ok], return_inverse=True)
-            dense = np.zeros((len(names), _SIDE))
-            np.add.at(dense, (of, col[ok]), n[ok])
-            return names, dense
+            ctx, col, n_ = ctx[ok], col[ok], n[ok]
+            order = np.argsort(ctx, kind="stable")
+            return ctx[order], col[order], n_[order]
+
+        def dense(names: np.ndarray, strings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+            ctx, col, n = strings
+            a, b = np.searchsorted(ctx, names[0], "left"), np.searchsorted(ctx, names[-1], "right")
+            of = np.searchsorted(names, ctx[a:b])
+            at = np.flatnonzero(names[np.minimum(of, len(names) - 1)] == ctx[a:b])
+            out = np.zeros((len(names), _SIDE))
+            np.add.at(out, (of[at], col[a:b][at]), n[a:b][at])
+            return out
 
         def smoothed(dense: np.ndarray, parent: np.ndarray) -> np.ndarray:
             kinds = (dense > 0).sum(1, keepdims=True)
             return (dense + kinds * parent) / np.maximum(dense.sum(1, keepdims=True) + kinds, 1)
 
-        _, dense = table(0)
-        root = smoothed(dense, share[None]) if len(dense) else share[None]
+        empty = table(0)
+        root = smoothed(dense(np.zeros(1, np.int64), empty), share[None]) if len(empty[0]) else share[None]
         names, dist, keep = [np.zeros(1, np.int64)], [root], [np.ones(1, bool)]
         for d in range(1, depth + 1):
-            ctx, dense = table(d)
-            up = np.searchsorted(names[-1], ctx % _SIDE ** (d - 1)) if len(names[-1]) else np.zeros(0, int)
-            known = (up < len(names[-1])) & (names[-1][np.minimum(up, len(names[-1]) - 1)] == ctx % _SIDE ** (d - 1)) if len(names[-1]) else np.zeros(len(ctx), bool)
-            ctx, dense, up = ctx[known], dense[known], up[known]
-            parent = dist[-1][up] if len(up) else np.zeros((0, _SIDE))
-            p = smoothed(dense, parent)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                better = np.where(dense > 0, dense * np.log(p / parent), 0).sum(1)
+            strings = table(d)
+            ctx = np.unique(strings[0])
+            up = numbers(names[-1], ctx % _SIDE ** (d - 1))
+            ctx, up = ctx[up >= 0], up[up >= 0]
+            gains, held = [np.zeros(0, bool)], [np.zeros((0, _SIDE))]
+            for a in range(0, len(ctx), _SLICE):
+                n = dense(ctx[a : a + _SLICE], strings)
+                parent = dist[-1][up[a : a + _SLICE]]
+                p = smoothed(n, parent)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gains.append(np.where(n > 0, n * np.log(p / parent), 0).sum(1) >= gain)
+                held.append(p if d < depth else p[gains[-1]])  # the longest contexts are nobody's parents
             names.append(ctx)
-            dist.append(p)
-            keep.append(better >= gain)
+            dist.append(np.concatenate(held))
+            keep.append(np.concatenate(gains))
         for d in range(depth, 1, -1):  # a state's suffixes are states
             short = names[d][keep[d]] % _SIDE ** (d - 1)
             keep[d - 1][np.searchsorted(names[d - 1], short)] = True
         self.contexts = [x[k] for x, k in zip(names, keep, strict=True)]
         with np.errstate(divide="ignore"):
-            self.log = np.log10(np.concatenate([x[k] for x, k in zip(dist, keep, strict=True)])).astype(np.float32)
+            self.log = np.log10(np.concatenate([*[x[k] for x, k in zip(dist[:-1], keep, strict=False)], dist[-1]])).astype(np.float32)
         self.depth = depth
         self._table: np.ndarray | None = None
 
@@ -268,26 +294,47 @@ class SuffixTree:
         return out
 
 
-def learn_tree(counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
-    """The tree of a table of corpus_counts.  The driver gets strings with a share of ``least`` only: 1/least a depth at most."""
+def learn_tree(counts: DataFrame, depth: int = DEPTH) -> SuffixTree:
+    """The tree of a table of corpus_counts.  The driver gets every distinct string of a depth with its count."""
     strings = counts.where("kind = 1")
-    total = strings.agg(F.sum("n")).first()[0] or 0
     mask = F.array(*[F.lit((1 << 8 * (d + 1)) - 1) for d in range(depth + 1)])
-    short = strings.select("key", "n", F.posexplode(mask).alias("d", "mask")).groupBy("d", F.col("key").bitwiseAND(F.col("mask")).alias("key")).agg(F.sum("n").alias("n"))
-    got = short.where(F.col("n") >= max(1.0, least * total)).toArrow()
+    got = strings.select("key", "n", F.posexplode(mask).alias("d", "mask")).groupBy("d", F.col("key").bitwiseAND(F.col("mask")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     d, key, n = (got[c].to_numpy() for c in ("d", "key", "n"))
     return SuffixTree([(key[d == k].view(np.uint64), n[d == k]) for k in range(depth + 1)])
 
 
-def learn_words(docs: DataFrame, words: DataFrame, total: int, least: float = PAIRS) -> WordStates:
-    """States over words.  A pair with a share of ``least`` consists of words with one, so only those are told to the tasks: 1/least at most, and as many pairs."""
-    enough = max(2.0, least * total)
-    got = words.where(F.col("n") >= enough).toArrow()
-    order = np.argsort(keys := got["key"].to_numpy().view(np.uint64))
-    keys, n = keys[order], got["n"].to_numpy()[order]
-    told = docs.sparkSession.sparkContext.broadcast(keys)
-    pairs = pair_counts(docs, told).where(F.col("n") >= enough).toArrow()
-    return WordStates(keys, n, pairs["key"].to_numpy(), pairs["n"].to_numpy(), total)
+def numbered(words: DataFrame) -> DataFrame:
+    """key, n, number: words found twice or more have numbers from 0 on (2^31 at most), the others -1; a written table."""
+    row = F.monotonically_increasing_id()
+    often = C.written(words.where(F.col("n") >= TWICE).select("key", "n", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("row")), "often")
+    sizes = sorted((r["part"], r["count"]) for r in often.groupBy("part").count().collect())  # a row a partition
+    first, begin = [], 0
+    for part, size in sizes:
+        first.append((part, begin))
+        begin += size
+    if begin >= 1 << 31:
+        raise ValueError("a pair of words fills 64 bits")
+    first = words.sparkSession.createDataFrame(first, "part long, first long")
+    often_ = often.join(F.broadcast(first), "part").select("key", "n", (F.col("first") + F.col("row")).alias("number"))
+    out = C.written(often_.unionByName(words.where(F.col("n") < TWICE).select("key", "n", F.lit(-1).cast("long").alias("number"))), "words")
+    C.forget(words.sparkSession, often)
+    return out
+
+
+def word_states(words: DataFrame, pairs: DataFrame, total: int, gain: float = GAIN) -> DataFrame:
+    """number, rest (a log) of each word that is a state; the test of WordStates over tables of any size.
+
+    words: key, n, number; pairs: pair (see pair_counts), m, one row each.
+    """
+    n = words.where("number >= 0").select("number", "n")
+    split = pairs.select(F.shiftright("pair", 32).alias("before"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("now"), "m")
+    seen = split.groupBy("before").agg(F.sum("m").alias("seen"), F.count("*").alias("kinds"))
+    seen = seen.join(n.withColumnsRenamed({"number": "before", "n": "n_before"}), "before").withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("n_before"))
+    each = split.join(n.withColumnsRenamed({"number": "now", "n": "n_now"}), "now").join(seen.select("before", "n_before", "rest"), "before")
+    ratio = (F.col("m") - DISCOUNT) / F.col("n_before") / ((F.col("n_now") - DISCOUNT) / float(max(total, 1)))
+    better = each.groupBy("before").agg(F.sum(F.col("m") * F.log(ratio + F.col("rest"))).alias("better"))
+    kept = better.join(seen, "before").where(F.col("better") + (F.col("n_before") - F.col("seen")) * F.log("rest") >= gain)
+    return kept.select(F.col("before").alias("number"), F.log("rest").alias("rest"))
 
 
 def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -300,19 +347,20 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
     a word that is a state, the pairs counted have their discounted shares, and this distribution the
     rest.  The outcomes add to one at most.
 
-    Word counts and strings are summed in tasks, then by key.  Texts are dealt once into blocks of about
-    ``block_bytes`` by a hash; each block asks for the counts of its distinct words, so neither
-    vocabulary nor texts are broadcast; the tree is (at most 1/LEAST states a depth, 1/PAIRS pairs).
+    Word counts and strings are summed in tasks, then by key.  Texts are dealt into blocks of about
+    ``block_bytes`` by a hash; each block asks for the counts of its distinct words, then, with its own
+    counts, for those of its distinct pairs of words, so neither vocabulary, pairs nor texts are
+    broadcast; the tree over bytes is.  Every pair found twice or more counts.
     Null text is empty (one token, the end); equal rows are scored alike; nothing to learn from:
     the uniform tree scores, base_score 0; empty table: empty result.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (~learned_from).alias("held_out"))
     counts = C.written(corpus_counts(rows.where(~F.col("held_out")), depth), "counts")
-    words = counts.where("kind = 0").select("key", "n")
+    words = numbered(counts.where("kind = 0").select("key", "n"))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = spark.sparkContext.broadcast(learn_tree(counts, depth))
-    after = spark.sparkContext.broadcast(learn_words(rows.where(~F.col("held_out")), words, total))
+    C.forget(spark, counts)
     blocks = max(1, -(-C.text_bytes(docs) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
@@ -334,11 +382,38 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
             key = np.append(np.unique(np.concatenate(parts)), _END_KEY)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), x, np.int32)), pa.array(key.view(np.int64))], names=["block", "key"])
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def count_pairs(texts: pa.Table, known: pa.Table) -> pa.Table:
+        """The block's distinct pairs of numbered words, and how often each is in texts that the model learns from (0: asked for only)."""
         order = np.argsort(keys := known["key"].to_numpy().view(np.uint64))
-        keys, n = keys[order], known["n"].to_numpy()[order]
+        keys, number = keys[order], known["number"].to_numpy()[order]
+        learn = ~texts["held_out"].to_numpy()
+        data, begin = C.flat(texts["text"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in C.rounds(begin):
+            part = data[begin[a] : begin[b]]
+            start, end, row = C.words(part, begin[a : b + 1] - begin[a])
+            key, of = np.full(len(start) + b - a, _END_KEY), np.empty(len(start) + b - a, np.int64)
+            key[np.arange(len(start)) + row] = C.hash_runs(C.LOWER[part], start, end)
+            of[np.arange(len(start)) + row] = row
+            of[np.cumsum(np.bincount(row, minlength=b - a) + 1) - 1] = np.arange(b - a)
+            at = numbers(keys, np.append(_END_KEY, key))
+            all_ = np.where(at >= 0, number[at], -1) if len(keys) else at
+            before, now = all_[:-1], all_[1:]
+            both = (before >= 0) & (now >= 0)
+            held += _added([(before[both] << 32 | now[both], learn[a:b][of[both]].astype(np.int64))])
+            if sum(len(k) for k, _ in held[1:]) > max(1 << 18, len(held[0][0])):
+                held = _added(held)
+        pair, n = _added(held)[0] if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"block": pa.array(np.full(len(pair), texts["block"][0].as_py() if len(texts) else 0, np.int32)), "pair": pair, "n": n})
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        word = told["number"].to_numpy() > _PAIR
+        pairs, m = (told[c].to_numpy()[~word] for c in ("key", "n"))
+        keys, n, number, rest = (told[c].to_numpy()[word] for c in ("key", "n", "number", "rest"))
+        order = np.argsort(keys := keys.view(np.uint64))
+        keys, n, number, rest = keys[order], n[order], number[order], rest[order]
+        after = WordStates.told(keys, n, number, rest, pairs, m)
         keys, n = np.append(keys, np.uint64(2**64 - 1)), np.append(n, 0)
-        place = numbers(after.value.keys, keys)
         data, begin = C.flat(texts["text"])
         out = []
         for a, b in C.rounds(begin):
@@ -352,7 +427,7 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
                     seen = np.log(np.maximum(c - DISCOUNT, 0) / total)
                 free = np.log(DISCOUNT * kinds / total / 2)  # half to spellings of known tokens, half to the unknown token
                 p = np.where(c > 0, np.logaddexp(seen, free + spelled * np.log(10)), free)
-                p = after.value.log(p, np.where(known_, place[at], -1)) / np.log(10)
+                p = after.log(p, np.where(known_, at, -1)) / np.log(10)
             else:
                 p = spelled
             base = np.log10((c + 1) / (total + kinds + 1))
@@ -360,7 +435,18 @@ def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_
         n_tokens, n_known, base, p = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), total, np.int64), "base_score": base, "score": p})
 
-    found = dealt.mapInArrow(ask, "block int, key long").join(words, "key").select("block", "key", "n")
+    asked = dealt.mapInArrow(ask, "block int, key long")
+    found = asked.join(words, "key").select("block", "key", "number")
+    by_block = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(count_pairs, "block int, pair long, n long")
+    same = Window.partitionBy("pair")
+    pairs = by_block.withColumn("m", F.sum("n").over(same)).withColumn("own", F.min("block").over(same) == F.col("block")).where(F.col("m") >= TWICE)
+    pairs = C.written(pairs.select("block", "pair", "m", "own"), "pairs")
+    states = word_states(words, pairs.where("own"), total)
+    told = C.written(words.join(states, "number", "left").select("key", "n", "number", "rest"), "told")
+    del by_block, found, states
+    spark.sparkContext._jvm.System.gc()  # shuffle files of tables that are written by now can go
+    found = asked.join(told, "key").select("block", "key", "n", "number", "rest")
+    found = found.unionByName(pairs.select("block", F.col("pair").alias("key"), F.col("m").alias("n"), F.lit(_PAIR).cast("long").alias("number"), F.lit(None).cast("double").alias("rest")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
