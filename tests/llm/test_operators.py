@@ -378,6 +378,24 @@ def test_pipeline(spark, tmp_path, docs):
     assert kept == want
 
 
+def test_pipeline_language_limit(spark):
+    """Gibberish and languages that were not learned go, whatever their label; short clean texts stay."""
+    import corpus_pipeline as P
+
+    r = random.Random(4)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    low, b64 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    bad = [" ".join(word(low, r.randrange(2, 10)) for _ in range(200)), " ".join(word(b64, 64) for _ in range(40)), "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Привет всем людям", "123"]
+    good = ["This is the house of the man.", "The rest of the letter is here and it was not sent on the same day.", "Der Mann und die Frau sind in der Stadt.", "La maison est dans les montagnes."]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*P.COLUMNS).where("length(text) > 0")
+    n = docs.count()
+    assert n > 100
+    more = spark.createDataFrame([(10**6 + k, t, "en" if k % 2 else None, "s", len(t)) for k, t in enumerate(bad + good)], docs.schema)
+    stay = {x.doc_id for x in P.language_id(spark, docs.unionByName(more), "").collect()}
+    assert {k for k in range(len(bad + good)) if 10**6 + k in stay} == set(range(len(bad), len(bad + good)))
+    assert len(stay) >= 0.99 * n
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     """Components, at once and after more edges, against union by hand; loops and repeated edges are there."""

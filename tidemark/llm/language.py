@@ -17,8 +17,8 @@ PROFILE, LONGEST, SAMPLE = 300, 3, 3000
 SCHEMA = "lang_pred string, score double"
 #: Letters that one round covers.
 ROUND = 1 << 17
-#: The pipeline's rule: a text that lies further than this from every language (score below it) is rejected.
-MIN_SCORE = 0.1
+#: For the pipeline's rule (see learn_limit): share of labelled texts that may lie below the low end of clean scores, and of random ones above the high end of theirs; random texts drawn.
+TAIL, DRAWN = 0.05, 400
 
 
 def _fold_table() -> np.ndarray:
@@ -100,6 +100,15 @@ def _row_rounds(begin: np.ndarray) -> Iterator[tuple[int, int]]:
             yield x, min(b, x + 60_000)
 
 
+def sampled(labelled: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
+    """doc_id, lang, text of about ``sample`` labelled documents a language, chosen by a hash of doc_id (None: of all)."""
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    if sample is None:
+        return rows
+    share = rows.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))  # a row a language
+    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+
+
 def learn_profiles(labelled: DataFrame, profile: int = PROFILE, longest: int = LONGEST, sample: int | None = SAMPLE) -> dict[str, list[int]]:
     """Each language's most frequent n-grams, in rank order.
 
@@ -107,10 +116,7 @@ def learn_profiles(labelled: DataFrame, profile: int = PROFILE, longest: int = L
     language come to the driver.  With ``sample``, about that many documents a language are read,
     chosen by a hash of doc_id; None reads all.  Rows without text or lang are left out.
     """
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    if sample is not None:
-        share = rows.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))  # a row a language
-        rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    rows = sampled(labelled, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,23 +142,14 @@ def learn_profiles(labelled: DataFrame, profile: int = PROFILE, longest: int = L
     return out
 
 
-def identify_language(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, longest: int = LONGEST) -> DataFrame:
-    """lang_pred and score after the given columns (given columns of those names are replaced); a narrow map.
-
-    A text's ``profile`` most frequent n-grams are compared with each language's by out-of-place
-    distance: the difference of ranks, or ``profile`` where the language lacks the n-gram.  The nearest
-    language wins (ties: the first by name); score is 1 less its distance as a share of the most
-    possible.  Null, a text without letters, or no profiles at all: ``und``, score 0.
-    """
+def predictor(profiles: dict[str, list[int]], profile: int = PROFILE, longest: int = LONGEST):
+    """A function of flat texts: names of languages, and scores (see identify_language)."""
     names = sorted(profiles)
     tables = []
     for name in names:
         gram = np.array(profiles[name][:profile], np.int64)
         order = np.argsort(gram)
         tables.append((gram[order], order))
-    given = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    frame = docs.select(given)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
     def predict(data: np.ndarray, begin: np.ndarray) -> tuple[list[str], np.ndarray]:
         rows = len(begin) - 1
@@ -171,6 +168,42 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], profile:
         score = np.where(known, 1 - (far.min(0) if len(names) else 0) / np.maximum(used * profile, 1), 0.0)
         return [names[b] if ok else "und" for b, ok in zip(best, known, strict=True)], score
 
+    return predict
+
+
+def learn_limit(labelled: DataFrame, profiles: dict[str, list[int]], sample: int | None = SAMPLE) -> float:
+    """The least score of a text in one of the languages: half way from what random letters reach to what labelled texts fall to.
+
+    The letters are the profiles' own, drawn alike often, in words of five on average, 20 to 2000 letters a text; all but TAIL of such texts
+    score less than the one end, all but TAIL of the sampled labelled texts more than the other.  Where the two
+    don't lie apart, or nothing was learned, nothing can be told: 0.
+    """
+    alphabet = sorted({chr(g >> 2) for grams in profiles.values() for g in grams if g & 3 == 1})
+    if not alphabet:
+        return 0.0
+    low = identify_language(sampled(labelled, sample), profiles).where("lang_pred <> 'und'").agg(F.percentile_approx("score", TAIL, 10_000)).first()[0]
+    draw, made = np.random.default_rng(8), []
+    for n in np.exp(draw.uniform(np.log(20), np.log(2000), DRAWN)).astype(int):
+        letter = draw.choice(alphabet, n)
+        made.append("".join(x + " " * e for x, e in zip(letter, (draw.random(n) < 0.2).tolist(), strict=True)))
+    data, begin = C.flat(pa.array(made))
+    high = float(np.quantile(predictor(profiles)(data, begin)[1], 1 - TAIL))
+    return (low + high) / 2 if low is not None and low > high else 0.0
+
+
+def identify_language(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, longest: int = LONGEST) -> DataFrame:
+    """lang_pred and score after the given columns (given columns of those names are replaced); a narrow map.
+
+    A text's ``profile`` most frequent n-grams are compared with each language's by out-of-place
+    distance: the difference of ranks, or ``profile`` where the language lacks the n-gram.  The nearest
+    language wins (ties: the first by name); score is 1 less its distance as a share of the most
+    possible.  Null, a text without letters, or no profiles at all: ``und``, score 0.
+    """
+    predict = predictor(profiles, profile, longest)
+    given = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    frame = docs.select(given)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begin = C.flat(batch.column("text"))
