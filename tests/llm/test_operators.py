@@ -211,6 +211,19 @@ def test_extraction(spark):
     assert extraction.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_extraction_over_groups(spark):
+    """A host's boilerplate is found in whatever groups its pages meet, and copies of a page are one page."""
+    line = lambda k, n=20: " ".join(f"{k}x{j}" for j in range(n))
+    page = lambda k, *more: f"<body><p>{line(k)}</p>{''.join(f'<p>{m}</p>' for m in more)}</body>"
+    notice, rare = line("notice", 12), line("rare", 12)
+    html = {k: page(f"w{k}", *([notice] if k % 40 == 0 else []), *([rare] if k in (1, 2) else [])) for k in range(400)}
+    html |= {k: page("copy") for k in range(400, 406)}
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in html.items()], "page_id long, url string, html string")
+    want = {k: line(f"w{k}") + (f"\n{rare}" if k in (1, 2) else "") for k in range(400)} | {k: line("copy") for k in range(400, 406)}
+    for group in (10, 100, 1000):
+        assert {r.page_id: r.text for r in extraction.extract_main_text(df, group).collect()} == want, group
+
+
 def test_suffix_array():
     r = np.random.default_rng(2)
     token, page = r.integers(0, 3, 400), np.repeat(np.arange(10), 40)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
@@ -115,51 +116,75 @@ def suffix_groups(token: np.ndarray, page: np.ndarray, long: int = LONG) -> np.n
     return rank
 
 
-def covered(token: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES) -> np.ndarray:
-    """Which tokens lie in a substring of ``long`` tokens or more that ``pages`` distinct pages share."""
-    n = len(token)
-    if not n:
-        return np.zeros(0, bool)
-    group = suffix_groups(token, page, long)
+def distinct_pages(group: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each class and page, in order of classes; for it the number of the page within its class (from 0); distinct pages of each class."""
     order = np.lexsort((page, group))
     g, p = group[order], page[order]
-    first = np.ones(n, bool)
+    first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
-    distinct = np.bincount(g[first], minlength=int(g.max()) + 1)
-    hit = np.flatnonzero(distinct[group] >= pages)
+    at, g = order[first], g[first]
+    return at, np.arange(len(g)) - np.searchsorted(g, g, "left"), np.bincount(g)
+
+
+def spread(hit: np.ndarray, long: int) -> np.ndarray:
+    """Which tokens lie in a window of ``long`` tokens that begins at a hit."""
+    n, at = len(hit), np.flatnonzero(hit)
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, hit, 1)
-    np.add.at(step, np.minimum(hit + long, n), -1)
+    np.add.at(step, at, 1)
+    np.add.at(step, np.minimum(at + long, n), -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def keep_blocks(blocks: list[list[tuple[int, str]]], long: int = LONG, pages: int = PAGES, cover: float = COVER) -> list[str]:
-    """The texts of a group of pages of one host.
-
-    The pages' token streams, outside their main elements, are put one after another; blocks that repeated substrings cover go.
-    A main element decides where a page has one: its blocks stay even if other pages copy them.
-    A page without one keeps its unique runs.
-    """
-    flat, at = [], []
-    for i, page in enumerate(blocks):
-        has_main = any(place == _MAIN for place, _ in page)
-        for j, (place, text) in enumerate(page):
-            if place != _MAIN:
-                at.append((i, j, has_main, text.split()))
-    vocabulary: dict[str, int] = {}
-    for *_, words in at:
-        flat += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-    size = [len(words) for *_, words in at]
-    page_of = np.repeat([i for i, *_ in at], size) if at else np.zeros(0, int)
-    hit = covered(np.array(flat, np.int64), np.asarray(page_of, np.int64), long, pages)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    gone, begin = set(), 0
-    for (i, j, has_main, _), n in zip(at, size, strict=True):
-        place = blocks[i][j][0]
-        if has_main or place == _OUT or total[begin + n] - total[begin] > cover * n:
-            gone.add((i, j))
-        begin += n
-    return ["\n".join(text for j, (_, text) in enumerate(page) if (i, j) not in gone) for i, page in enumerate(blocks)]
+def covered(token: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES, content: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens lie in a substring of ``long`` tokens or more that ``pages`` distinct pages share (distinct by ``content``, if given)."""
+    if not len(token):
+        return np.zeros(0, bool)
+    group = suffix_groups(token, page, long)
+    return spread(distinct_pages(group, page if content is None else content)[2][group] >= pages, long)
+
+
+class Outside:
+    """The token streams of pages outside their main elements, one page after another."""
+
+    def __init__(self, blocks: list[list[tuple[int, str]]]):
+        self.blocks, self.at = blocks, []
+        for i, page in enumerate(blocks):
+            has_main = any(place == _MAIN for place, _ in page)
+            self.at += [(i, j, has_main) for j, (place, _) in enumerate(page) if place != _MAIN]
+        data, begin = C.flat(pa.array([blocks[i][j][1] for i, j, _ in self.at], pa.large_string()))
+        start, end, row = C.words(data, begin)
+        self.token = C.hash_runs(data, start, end)
+        self.size = np.bincount(row, minlength=len(self.at))
+        of = np.array([i for i, *_ in self.at], np.int64)
+        self.page = of[row]
+        # copies of a page are one page
+        same = [int.from_bytes(hashlib.blake2b(repr(page).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for page in blocks]
+        self.content = np.array(same, np.int64)[self.page]
+
+    def windows(self, long: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the window of ``long`` tokens from each place on, and which places have one inside their page."""
+        n, key = len(self.token), self.token
+        whole = np.zeros(n, bool)
+        if n < long:
+            return key, whole
+        for k in range(2, long + 1):
+            key = C.next_gram(key, self.token, k)
+        whole[: n - long + 1] = self.page[: n - long + 1] == self.page[long - 1 :]
+        return np.append(key, np.zeros(long - 1, np.uint64)), whole
+
+    def texts(self, hit: np.ndarray, cover: float = COVER) -> list[str]:
+        """The pages' texts without the blocks that covered tokens fill.
+
+        A main element decides where a page has one: its blocks stay even if other pages copy them.
+        A page without one keeps its unique runs.
+        """
+        total = np.concatenate([[0], np.cumsum(hit)])
+        gone, begin = set(), 0
+        for (i, j, has_main), n in zip(self.at, self.size.tolist(), strict=True):
+            if has_main or self.blocks[i][j][0] == _OUT or total[begin + n] - total[begin] > cover * n:
+                gone.add((i, j))
+            begin += n
+        return ["\n".join(text for j, (_, text) in enumerate(page) if (i, j) not in gone) for i, page in enumerate(self.blocks)]
 
 
 def host_of(url):
@@ -171,7 +196,10 @@ def extract_main_text(pages: DataFrame, group: int = GROUP, long: int = LONG, sh
     """page_id, url, text, n_chars of every page.
 
     Pages are parsed where they are read, and blocks only are shuffled.  Pages meet in groups of about ``group`` pages of a host,
-    so a host of any size is many groups (boilerplate is on nearly every page of its host, so each group shows it).  Null or empty html: empty text, 0.  Rows with equal ids stay apart; an empty table gives an empty result.
+    so a host of any size is many groups.  A window of ``long`` tokens is repeated if ``shared`` distinct pages of its host have it, in whatever groups:
+    each group of a host with more than one sends the hashes of its windows, each with the first ``shared`` of its pages
+    (more can't change the verdict), and is told those that pass.  Copies of a page are one page.
+    Null or empty html: empty text, 0.  Rows with equal ids stay apart; an empty table gives an empty result.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, places array<int>, texts array<string>"
@@ -181,16 +209,44 @@ def extract_main_text(pages: DataFrame, group: int = GROUP, long: int = LONG, sh
             found = [parse_blocks(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([[p for p, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))], names=["page_id", "url", "places", "texts"])
 
-    def settle(table: pa.Table) -> pa.Table:
-        blocks = [list(zip(p, t, strict=True)) for p, t in zip(table["places"].to_pylist(), table["texts"].to_pylist(), strict=True)]
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(keep_blocks(blocks, long, shared), pa.string())})
+    def outside(table: pa.Table) -> Outside:
+        return Outside([list(zip(p, t, strict=True)) for p, t in zip(table["places"].to_pylist(), table["texts"].to_pylist(), strict=True)])
+
+    def keys(table: pa.Table, o: Outside) -> tuple[np.ndarray, np.ndarray]:
+        key, whole = o.windows(long)
+        return C.mix(key ^ np.uint64(table["host_key"][0].as_py() % (1 << 64))).view(np.int64), whole
+
+    def send(table: pa.Table) -> pa.Table:
+        at, key, o = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        if table["groups"][0].as_py() > 1:
+            o = outside(table)
+            key, whole = keys(table, o)
+            if len(key):
+                at, rank, _ = distinct_pages(suffix_groups(o.token, o.page, long), o.content)
+                at = at[(rank < shared) & whole[at]]
+        content = o.content[at] if len(at) else np.zeros(0, np.int64)
+        return pa.table({"slot": np.full(len(at), table["slot"][0].as_py(), np.int64), "key": key[at], "content": content})
+
+    def settle(table: pa.Table, told: pa.Table) -> pa.Table:
+        o = outside(table)
+        if table.num_rows and table["groups"][0].as_py() > 1:
+            key, whole = keys(table, o)
+            hit = spread(whole & np.isin(key, told["key"].to_numpy()), long)
+        else:
+            hit = covered(o.token, o.page, long, shared, o.content)
+        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(o.texts(hit), pa.string())})
 
     parsed = pages.select("page_id", "url", "html").mapInArrow(parse, schema).withColumn("host", host_of(F.col("url")))
     sizes = pages.select(host_of(F.col("url")).alias("host")).groupBy("host").count().select("host", F.ceil(F.col("count") / group).cast("int").alias("groups")).where("groups > 1")
     few = sizes.count() <= 50_000  # hosts of more than one group; each of the 50000 rows is a short name
     parsed = parsed.join(F.broadcast(sizes) if few else sizes, "host", "left")
-    parsed = parsed.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    done = parsed.groupBy("host", "part").applyInArrow(settle, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    parsed = parsed.withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+    parsed = parsed.select("page_id", "url", "places", "texts", "groups", F.xxhash64("host").alias("host_key"), F.xxhash64("host", "part").alias("slot"))
+    sent = parsed.groupBy("slot").applyInArrow(send, "slot long, key long, content long")
+    same = Window.partitionBy("key")
+    sent = sent.withColumn("nth", F.dense_rank().over(same.orderBy("content"))).withColumn("pages", F.max("nth").over(same))
+    told = sent.where(F.col("pages") >= shared).select("slot", "key")
+    done = parsed.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(settle, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
