@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import struct
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one round of numpy work covers (a longer text is one round).
-ROUND_BYTES = 1 << 18
+#: Bytes of text that one round of numpy work covers (a longer text is one round); rows and bytes of a batch that goes back to Spark.
+ROUND_BYTES, BATCH_ROWS, BATCH_BYTES = 1 << 18, 4096, 2 << 20
+#: Bytes of a row group of a scratch table: what a writing task holds.
+ROW_GROUP = 8 << 20
+#: Powers of the hash base that a worker keeps; a longer run of bytes makes its own.
+KEPT_POWERS = 1 << 16
 #: The white space that separates words: space and the five controls from tab on.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,9 +33,12 @@ _powers = np.ones(1, np.uint64)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where it names none."""
+    """The shared folder that the cluster names; a local one only for a session in one process that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,15 +51,51 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the scratch table behind ``df`` once nothing reads it."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the scratch tables behind ``tables`` once nothing reads them."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _give_back() -> None:
+    """Memory that Arrow and the C library hold without use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` over batches cut to BATCH_ROWS rows and about BATCH_BYTES; a worker that Spark uses again keeps no free memory after it."""
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(small(batches))
+        finally:
+            _give_back()
+
+    return inner
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most BATCH_ROWS rows and about BATCH_BYTES (a longer row is a batch)."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, min(BATCH_ROWS, int(n * BATCH_BYTES / max(batch.nbytes, 1)))) if n else 1
+        for a in range(0, n, step):
+            yield batch.slice(a, step)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -80,11 +128,14 @@ def rounds(begin: np.ndarray, limit: int = ROUND_BYTES):
 
 
 def powers(n: int) -> np.ndarray:
-    """Powers of the hash base, grown by doubling."""
+    """Powers of the hash base, grown by doubling; KEPT_POWERS of them at most are kept."""
     global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _BASE)])
-    return _powers
+    found = _powers
+    while len(found) < n:
+        found = np.concatenate([found, found * (found[-1:] * _BASE)])
+    if len(found) <= KEPT_POWERS:
+        _powers = found
+    return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,3 +191,33 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     back = np.empty(len(key), np.int64)
     back[order] = np.cumsum(fresh) - 1
     return sorted_[fresh], order[fresh], back
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: planes of bytes, compressed."""
+    out = [struct.pack("<B", len(arrays))]
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        planes = pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+        out += [struct.pack("<2sQQ", x.dtype.str[1:].encode(), len(x), len(planes)), planes]
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    at, out = 1, []
+    for _ in range(blob[0]):
+        kind, n, size = struct.unpack_from("<2sQQ", blob, at)
+        at += 18
+        dtype = np.dtype(kind.decode())
+        planes = pa.decompress(blob[at : at + size], n * dtype.itemsize, codec="zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n))
+        at += size
+    return out
+
+
+def runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of each run of an ascending array."""
+    cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+        if b > a:
+            yield int(part[a]), a, b

@@ -118,6 +118,7 @@ def learn_profiles(labelled: DataFrame, profile: int = PROFILE, longest: int = L
     """
     rows = sampled(labelled, sample)
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begin = C.flat(batch.column("text"))
@@ -204,6 +205,7 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], profile:
     frame = docs.select(given)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begin = C.flat(batch.column("text"))

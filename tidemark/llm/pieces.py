@@ -155,6 +155,7 @@ def piece_round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """
     model = model or public_tokenizers.path(PIECE_BPE)
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model)
         names = [str(i) for i in range(coder.library.get_piece_size())]

@@ -110,6 +110,7 @@ def repetition_rules(docs: DataFrame, gram_share: dict[int, float] | None = None
     frame = docs.select(given)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begin = C.flat(batch.column("text"))

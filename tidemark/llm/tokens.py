@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -13,9 +12,8 @@ import public_tokenizers
 from tidemark.llm import common as C
 
 WORD_BPE = "word_bpe_49k.json"
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-#: Distinct pieces that a worker remembers before it begins anew.
-REMEMBERED = 1_000_000
+#: Bytes of distinct pieces that a worker remembers before it begins anew.
+REMEMBERED = 24 << 20
 # Byte classes of the fast path: 0 white space, 1 letter, 2 digit, 3 the rest.
 _KIND = np.full(256, 3, np.uint8)
 _KIND[C.SPACE] = 0
@@ -28,33 +26,43 @@ _FOREIGN[[0x97, 0xB7, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
 
 
 class Memory:
-    """Ids of pieces by a 64-bit hash of their bytes; starts anew beyond ``limit`` pieces."""
+    """Ids of pieces by a 64-bit hash of their bytes: flat arrays of ``limit`` bytes at most, emptied when they are full."""
 
     def __init__(self, learn: Callable[[bytes], list[int]], limit: int = REMEMBERED):
         self.learn, self.limit = learn, limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.key, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # keys ascending; the number of each piece
         self.begin, self.ids = array("q", [0]), array("I")
 
+    def nbytes(self) -> int:
+        return 12 * len(self.key) + 8 * len(self.begin) + 4 * len(self.ids)
+
+    def _learned(self, key: np.ndarray, runs: list[bytes]) -> None:
+        """Adds pieces under new keys, which ascend."""
+        number = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(key), dtype=np.int32)
+        for run in runs:
+            self.ids.extend(self.learn(run))
+            self.begin.append(len(self.ids))
+        at = np.searchsorted(self.key, key)
+        self.key, self.place = np.insert(self.key, at, key), np.insert(self.place, at, number)
+
     def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the runs data[start:end], one after another, and how many each run has."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.place) > self.limit:
+        if self.nbytes() > self.limit:
             self.clear()
         key, first, back = C.distinct(C.hash_runs(data, start, end))
-        at = list(map(self.place.get, key.tolist()))
-        for i in [i for i, x in enumerate(at) if x is None]:
-            a = first[i]
-            self.ids.extend(self.learn(data[start[a] : end[a]].tobytes()))
-            at[i] = self.place[int(key[i])] = len(self.begin) - 1
-            self.begin.append(len(self.ids))
+        at = np.searchsorted(self.key, key)
+        new = np.flatnonzero((at == len(self.key)) | (self.key[np.minimum(at, len(self.key) - 1)] != key)) if len(self.key) else np.arange(len(key))
+        if len(new):
+            self._learned(key[new], [data[a:b].tobytes() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        number = self.place[np.searchsorted(self.key, key)][back]
         begin, ids = np.frombuffer(self.begin, np.int64), np.frombuffer(self.ids, np.uint32)
-        at = np.array(at)[back]
-        head = begin[at]
-        size = begin[at + 1] - head
+        head = begin[number]
+        size = begin[number + 1] - head
         end_ = np.cumsum(size)
         return (ids[np.arange(end_[-1]) + np.repeat(head - end_ + size, size)] if end_[-1] else np.zeros(0, np.uint32)), size
 
@@ -81,22 +89,17 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         model, letters = self.library.model, _byte_letters()
         self.pieces = Memory(lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))])
-        self.chunks: dict[str, np.ndarray] = {}
+        self.foreign = Memory(lambda chunk: self.library.encode(chunk.decode(), add_special_tokens=False).ids, REMEMBERED // 4)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one text (null: none)."""
         data = np.frombuffer((text or "").encode(), np.uint8)
         return self.encode_round(data, np.array([0, len(data)]))[0]
 
-    def _by_chunk(self, text: str) -> np.ndarray:
-        found = []
-        for chunk in _CHUNK.findall(text):
-            if (ids := self.chunks.get(chunk)) is None:
-                if len(self.chunks) > REMEMBERED // 4:
-                    self.chunks.clear()
-                ids = self.chunks[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, np.uint32)
-            found.append(ids)
-        return np.concatenate(found) if found else np.zeros(0, np.uint32)
+    def _by_chunk(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one text, by the whole library."""
+        start, end, _ = C.words(data, np.array([0, len(data)]))
+        return self.foreign.lookup(data, start, end)[0]
 
     def encode_round(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin."""
@@ -119,7 +122,7 @@ class WordEncoder:
         if len(slow):
             parts = np.split(ids, bounds[1:-1])
             for i in slow:
-                parts[i] = self._by_chunk(data[begin[i] : begin[i + 1]].tobytes().decode())
+                parts[i] = self._by_chunk(data[begin[i] : begin[i + 1]])
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, bounds
 
