@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 from tidemark.llm import tokens as T
 
-#: Tokens of a sequence; tokens of a bin of the coarse histogram; documents of a pattern at most.
-CAPACITY, GRAIN, PARTS = 2048, 4, 3
+#: Tokens of a sequence; tokens of a bin of the histogram that patterns are fitted to; documents of a pattern at most; for each fit, tokens that its sequences may leave free.
+CAPACITY, GRAIN, PARTS, SLACKS = 2048, 16, 3, (0, 1, 3, 8)
+Kinds = list[tuple[tuple[int, ...], int]]
 
 
 def length_patterns(bins: int, parts: int = PARTS) -> np.ndarray:
@@ -28,88 +29,131 @@ def length_patterns(bins: int, parts: int = PARTS) -> np.ndarray:
     return np.array(found)
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, tolerance: float = 1e-6) -> np.ndarray:
     """Non-negative least squares: how often each pattern repeats, so that their lengths add to the histogram.
 
-    Accelerated projected gradient.  histogram[i] counts documents of i bins; [0] is ignored.
+    An active-set method: its solutions have no more patterns than the histogram has bins, so repeats are large and
+    little is lost when they are rounded.  histogram[i] counts documents of i bins; [0] is ignored.
     """
-    width = len(histogram)
-
-    def apply(x: np.ndarray) -> np.ndarray:
-        out = np.bincount(patterns.ravel(), np.repeat(x, patterns.shape[1]), width)
+    width, target = len(histogram), histogram.astype(float)
+    target[0] = 0
+    x, used = np.zeros(len(patterns)), np.zeros(0, np.int64)
+    columns = np.zeros((width, 0))
+    scale = max(1.0, np.abs(target).max())
+
+    def column(i: int) -> np.ndarray:
+        out = np.bincount(patterns[i], minlength=width).astype(float)
         out[0] = 0
         return out
 
-    def back(r: np.ndarray) -> np.ndarray:
-        r = r.copy()
-        r[0] = 0
-        return r[patterns].sum(1)
-
-    v = np.ones(len(patterns))
-    for _ in range(12):  # the largest eigenvalue
-        v = back(apply(v))
-        v /= (norm := np.linalg.norm(v)) or 1
-    step, target = 1 / (1.02 * norm or 1), histogram.astype(float)
-    x = z = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(z - step * back(apply(z) - target), 0)
-        t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        z = new + (old - 1) / t * (new - x)
-        x = new
+    for _ in range(6 * width):
+        left = target - columns @ x[used]
+        left[0] = 0
+        gain = left[patterns].sum(1)
+        gain[used] = -np.inf
+        best = int(gain.argmax())
+        if gain[best] <= tolerance * scale:
+            break
+        used, columns = np.append(used, best), np.column_stack([columns, column(best)])
+        while True:
+            try:
+                now = np.linalg.solve(columns.T @ columns, columns.T @ target)
+            except np.linalg.LinAlgError:
+                now = np.linalg.lstsq(columns, target, rcond=None)[0]
+            if (now > 0).all():
+                x[used] = now
+                break
+            old, bad = x[used], now <= 0
+            step = (old[bad] / np.maximum(old[bad] - now[bad], 1e-300)).min()
+            x[used] = old + step * (now - old)
+            stay = (x[used] > 1e-12 * scale) & ~(bad & (x[used] <= 1e-9 * scale))
+            x[used[~stay]] = 0
+            used, columns = used[stay], columns[:, stay]
+            if not len(used):
+                break
     return x
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[tuple[int, ...], int]]:
-    """The plan of fewest sequences with all, nine tenths, half or none of the fitted repeats (the first of equals); see _plan."""
-    return min((_plan(counts, capacity, grain, share) for share in (1.0, 0.9, 0.5, 0.0)), key=lambda kinds: sum(n for _, n in kinds))
+def realise(patterns: np.ndarray, repeat: np.ndarray, left: dict[int, int], capacity: int, grain: int, slack: int) -> Kinds:
+    """Sequences of real lengths, taken from ``left``, for each pattern as often as it repeats or documents are there.
+
+    The shorter documents of a pattern come from their bins, and the last is the longest one that fits into what they leave; of all
+    such choices the fullest is made, and none that leaves more than ``slack`` tokens free.
+    """
+    kinds: Kinds = []
+    stock: dict[int, list[int]] = {}
+    for k in sorted(left):
+        stock.setdefault(-(-k // grain), []).append(k)
+
+    def last(room: int, taken: tuple[int, ...]) -> int:
+        """The longest document that leaves at most ``slack`` of ``room``; 0: there is none."""
+        return next((k for k in range(room, max(room - slack, 1) - 1, -1) if left.get(k, 0) > taken.count(k)), 0)
+
+    def choices(short: list[int]) -> Iterator[tuple[int, ...]]:
+        if not short:
+            yield ()
+            return
+        for taken in choices(short[:-1]):
+            for k in reversed(stock.get(short[-1], [])):
+                if left[k] > taken.count(k):
+                    yield (*taken, k)
+
+    for i in np.argsort(-repeat, kind="stable"):
+        n = int(repeat[i])
+        if n <= 0:
+            break
+        short = [int(b) for b in patterns[i] if b][:-1]
+        while n:
+            best: tuple[int, ...] = ()
+            for taken in choices(short):
+                room = capacity - sum(taken)
+                k = last(room, taken)
+                if k and sum(taken) + k > sum(best):
+                    best = (*taken, k)
+                    if k == room:
+                        break
+            if not best:
+                break
+            m = min([n, *(left[k] // best.count(k) for k in best)])
+            for k in best:
+                left[k] -= m
+            for k in set(best):
+                if not left[k]:
+                    stock[-(-k // grain)].remove(k)
+            kinds.append((best, m))
+            n -= m
+    return kinds
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, slacks: tuple[int, ...] = SLACKS) -> Kinds:
+    """Kinds of sequences (their lengths, how many) that hold exactly ``counts`` documents of each length; see pattern_plan."""
+    return pattern_plan(counts, capacity, grain, slacks)[0]
 
 
-def _plan(counts: dict[int, int], capacity: int, grain: int, share: float) -> list[tuple[tuple[int, ...], int]]:
-    """Kinds of sequences (their lengths, how many) that hold exactly ``counts`` documents of each length.
+def pattern_plan(counts: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, slacks: tuple[int, ...] = SLACKS) -> tuple[Kinds, int]:
+    """The kinds of sequences, and how many documents the patterns placed.
 
-    Works on counts only, so its cost does not follow the number of documents: patterns are fitted to
-    the histogram, rounded down and realised; what is left goes to the fullest open sequence that
-    still has room, longest first.
+    Works on counts only, so its cost does not follow the number of documents.  Patterns are fitted to the histogram, their
+    repeats are rounded down and realised, and patterns are fitted to what is left, a few times; in the last fit repeats are
+    rounded up.  The residual goes to the fullest open sequence that still has room, longest first.
     """
     left = {k: v for k, v in counts.items() if v}
     bins = -(-capacity // grain)
-    kinds: list[tuple[tuple[int, ...], int]] = []
+    kinds: Kinds = []
     if (n := left.pop(capacity, 0)) > 0:
         kinds.append(((capacity,), n))
-    if left:
-        histogram = np.zeros(bins + 1, np.int64)
-        for k, v in left.items():
-            histogram[-(-k // grain)] += v
-        patterns = length_patterns(bins)
-        repeat = np.floor(share * fit_counts(patterns, histogram) + 1e-6).astype(np.int64)
-        stock: dict[int, list[int]] = {}
-        for k in sorted(left):
-            stock.setdefault(-(-k // grain), []).append(k)  # the longest of a bin goes first
-        for i in np.argsort(-repeat, kind="stable"):
-            n = int(repeat[i])
-            if n == 0:
-                break
-            need = [int(b) for b in patterns[i] if b]
-            while n:
-                taken: list[int] = []
-                for b in need:
-                    k = next((k for k in reversed(stock.get(b, [])) if left[k] > taken.count(k)), None)
-                    if k is None:
-                        break
-                    taken.append(k)
-                if len(taken) < len(need):
-                    break
-                m = min([n, *(left[k] // taken.count(k) for k in taken)])
-                for k in taken:
-                    left[k] -= m
-                for b in need:
-                    stock[b] = [k for k in stock[b] if left[k]]
-                kinds.append((tuple(taken), m))
-                n -= m
+    patterns, whole = length_patterns(bins), sum(left.values())
+    for slack in slacks:
+        if not (left := {k: v for k, v in left.items() if v}):
+            break
+        histogram = np.bincount([-(-k // grain) for k in left], list(left.values()), bins + 1)
+        fitted = fit_counts(patterns, histogram)
+        repeat = np.floor(fitted + 1e-6) if slack < slacks[-1] else np.ceil(fitted - 0.25)
+        kinds += realise(patterns, repeat.astype(np.int64), left, capacity, grain, slack)
+    placed = whole - sum(left.values())
     # best fit: the open sequence with the least room that is enough
     rooms: list[int] = []
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    open_: dict[int, Kinds] = {}
 
     def put(kind: tuple[int, ...], n: int) -> None:
         room = capacity - sum(kind)
@@ -138,7 +182,7 @@ def _plan(counts: dict[int, int], capacity: int, grain: int, share: float) -> li
                 used = n if n < fit else n - n % fit
                 put((k,) * min(n, fit), 1 if n < fit else n // fit)
             n -= used
-    return [x for room in rooms for x in open_[room]]
+    return [x for room in rooms for x in open_[room]], placed
 
 
 def slots_of(kinds: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -159,6 +203,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) ->
     """doc_id, piece, start, length, ids_crc32 of each piece of each document (null text: the end id only)."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long"
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = T.encoder(tokenizer).encode_column
         for batch in batches:
@@ -185,7 +230,7 @@ def pattern_pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     spark = docs.sparkSession
     pieces = C.written(token_pieces(docs, capacity, tokenizer or T.path_of(), end_id), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    kinds = plan_sequences(counts, capacity)
+    kinds = plan_sequences(counts, capacity)  # a histogram of ``capacity`` counts
     slots = spark.createDataFrame(slots_of(kinds) or [(0, 0, 0, 0, 0)], "length int, lo long, hi long, base long, offset long")
     groups = max(16, sum(counts.values()) // rows_a_group)
     keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
