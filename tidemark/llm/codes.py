@@ -60,45 +60,61 @@ class Block:
             at += 4 * len(directory)
             self.levels.append((chunk, bits, directory))
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many of the first i ids of a level go on in the next one: an entry of the directory and the bits after it."""
+        _, bits, directory = self.levels[level]
+        first = i // RANK_STEP * RANK_STEP
+        inside = np.unpackbits(bits[first >> 3 : (i + 7) >> 3], bitorder="little")[: i - first]
+        return int(directory[i // RANK_STEP]) + int(inside.sum())
+
     def get(self, i: int) -> int:
         """The id at position i, without decoding any other."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = shift = 0
-        for chunk, bits, directory in self.levels:
+        for level, (chunk, bits, _) in enumerate(self.levels):
             value |= int(chunk[i]) << shift
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            first = i // RANK_STEP * RANK_STEP
-            inside = np.unpackbits(bits[first >> 3 : (i >> 3) + 1], bitorder="little")[: i - first]
-            i = int(directory[i // RANK_STEP]) + int(inside.sum())
+            i = self._rank(level, i)
             shift += CHUNK_BITS
         return value
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The ids at positions a to b, without decoding any other: at each level they are one run, which ranks find."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        out, at, shift = np.zeros(b - a, np.uint32), np.arange(b - a), 0
+        for level, (chunk, bits, _) in enumerate(self.levels):
+            out[at] |= chunk[a:b].astype(np.uint32) << np.uint32(shift)
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            at = at[more]
+            if not len(at):
+                break
+            a = self._rank(level, a)
+            b, shift = a + len(at), shift + CHUNK_BITS
+        return out
+
     def document(self, k: int) -> np.ndarray:
-        """The ids of the k-th document of the block."""
-        return self.all()[self.begin[k] : self.begin[k + 1]]
+        """The ids of the k-th document of the block, and no others."""
+        return self.span(int(self.begin[k]), int(self.begin[k + 1]))
 
     def all(self) -> np.ndarray:
-        value = None
-        for chunk, bits, _ in reversed(self.levels):
-            here = chunk.astype(np.uint32)
-            if value is not None:
-                here[np.unpackbits(bits, count=len(chunk), bitorder="little").astype(bool)] |= value << np.uint32(CHUNK_BITS)
-            value = here
-        return value if value is not None else np.zeros(0, np.uint32)
+        return self.span(0, self.n)
 
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all texts, in ascending doc_id order (null first; then by text), as a table of blocks at ``path``.
 
-    A row is a block: ``first_id`` and ``first_hash`` order blocks, ``doc_ids`` names its documents, ``n_ids`` counts its
+    A row is a block: ``part`` and ``place`` order blocks, ``doc_ids`` names its documents, ``n_ids`` counts its
     ids, ``block`` is its bytes.  Rows are dealt by ranges of doc_id before they are encoded, so every
-    task encodes its own range once.
+    task encodes its own range once.  Null text is the end id alone; rows with equal doc_id stay apart, ordered by a hash of their texts;
+    an empty table writes no block; a text of any length is one document of one block.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"part int, place int, doc_ids array<{kind}>, n_ids long, block binary"
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = T.encoder(tokenizer or T.path_of()).encode_column
         names, ids, total, part, place = [], [], 0, None, 0
@@ -128,22 +144,37 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     rows.mapInArrow(run, schema).write.parquet(path)
 
 
+def block_starts(table: DataFrame) -> DataFrame:
+    """part, place, before: ids of all blocks before each block.
+
+    Blocks are added up inside their part, which a task each can do; only one sum a part, as many as the writer had tasks, is ordered as a whole.
+    """
+    inner = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    skip = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("skip"))
+    within = table.select("part", "place", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("within"))
+    return within.join(skip, "part").select("part", "place", (F.col("skip") + F.col("within")).alias("before"))
+
+
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document of the table at ``path``, from its blocks alone."""
+    """doc_id, start, n_tokens, ids_crc32 of every document of the table at ``path``, each read by itself from its block.
+
+    Rows with equal doc_id stay apart; a block without documents gives none; an empty table gives an empty result.
+    """
     table = spark.read.parquet(path)
-    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)  # a row a block: two numbers for a million ids
-    starts = table.select("part", "place", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("part", "place", "before")
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for names, before, data in zip(batch.column("doc_ids"), batch.column("before").to_pylist(), batch.column("block"), strict=True):
                 block = Block(data.as_py())
-                ids, begin = block.all().astype("<u4"), block.begin
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                begin = block.begin
+                crc = [zlib.crc32(block.document(k).astype("<u4", copy=False)) for k in range(len(begin) - 1)]
                 yield pa.RecordBatch.from_arrays([names.values, pa.array(before + begin[:-1]), pa.array(np.diff(begin)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = table.join(F.broadcast(starts), ["part", "place"]) if starts.count() < 200_000 else table.join(starts, ["part", "place"])
+    starts = block_starts(table)
+    joined = table.join(F.broadcast(starts) if table.count() < 200_000 else starts, ["part", "place"])  # three numbers a block
     return joined.select("doc_ids", "before", "block").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
