@@ -6,6 +6,7 @@ import ctypes
 import gc
 import struct
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -63,10 +64,16 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def collect_garbage(spark: SparkSession, times: int = 3, pause: float = 0.5) -> None:
+    """Lets Spark's cleaner drop the shuffle files of jobs that nothing refers to any more.
+
+    Python's references reach the JVM with a delay, so it is asked more than once.
+    """
+    for _ in range(times):
+        gc.collect()
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(pause)
 
 
 def _give_back() -> None:
