@@ -98,7 +98,9 @@ def test_gap_fill(spark):
 def test_no_lookahead(spark):
     close = [10, 11, 12, 11, 10, 9, 10, 11, 12, 13]
     whole, part = flat(spark, close), flat(spark, close[:6])
-    for f in (lambda w: S.rolling(F.avg, "close", 3, w), lambda w: S.ewm("close", 0.5, w), lambda w: S.change("close", w)):
+    means = lambda df: column(S.with_ewm(df, {"x": ("close", 0.5)}), "x")
+    assert means(whole)[:6] == means(part)
+    for f in (lambda w: S.rolling(F.avg, "close", 3, w), lambda w: S.change("close", w)):
         assert column(whole.withColumn("x", f(S.by())), "x")[:6] == column(part.withColumn("x", f(S.by())), "x")
 
 

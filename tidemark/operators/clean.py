@@ -40,3 +40,19 @@ def fill_gaps(df: DataFrame, max_fill: int = 3) -> DataFrame:
 def clean(df: DataFrame, max_fill: int = 3) -> DataFrame:
     """Duplicates, then gaps; rows with a null price go."""
     return fill_gaps(dedupe(df), max_fill)
+
+
+def report(raw: DataFrame, bars: DataFrame, max_fill: int = 3) -> DataFrame:
+    """What cleaning does to each symbol: duplicate timestamps that go, grid points that lack a bar, of these filled and dropped.
+
+    raw: symbol, timestamp of all rows; bars: one row a timestamp, as fill_gaps takes it.  Symbols that fill_gaps leaves alone have zeros.
+    """
+    twice = raw.groupBy("symbol").agg((F.count("*") - F.count_distinct("timestamp")).alias("duplicates"))
+    filled = fill_gaps(bars, max_fill).select("symbol", "timestamp")
+    step = median_step(bars)
+    ends = bars.groupBy("symbol").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).join(step, "symbol")
+    grid = ends.select("symbol", F.explode(F.sequence("a", "b", F.expr("make_dt_interval(0, 0, 0, step_us / 1000000.0)"))).alias("timestamp"))
+    lack = grid.join(bars, ["symbol", "timestamp"], "left_anti")
+    done = lack.join(filled.withColumn("_ok", F.lit(1)), ["symbol", "timestamp"], "left").groupBy("symbol")
+    found = done.agg(F.count("*").alias("missing"), F.count("_ok").alias("filled"), (F.count("*") - F.count("_ok")).alias("dropped"))
+    return twice.join(found, "symbol", "left").fillna(0, ["missing", "filled", "dropped"])

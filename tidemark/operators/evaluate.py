@@ -49,15 +49,19 @@ def trades(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     inside = F.col("position") != 0
     df = ledger.withColumn("_in", inside).withColumn("_was", F.coalesce(F.lag(inside).over(w), F.lit(False)))
     df = df.withColumn("_price", F.lag("close").over(w)).withColumn("_equity", F.lag("equity").over(w)).withColumn("_time", F.lag("bar_idx").over(w))
+    if "timestamp" in ledger.columns:
+        df = df.withColumn("_at", F.lag("timestamp").over(w))
     df = df.withColumn("trade_id", F.sum((F.col("_in") & ~F.col("_was")).cast("long")).over(S.upto(w))).where("_in or _was")
     enter, leave = F.col("_in") & ~F.col("_was"), ~F.col("_in") & F.col("_was")
     at = lambda cond, c: F.max(F.when(cond, F.col(c)))
+    times = [at(enter, "timestamp").alias("entry_time"), at(leave, "_at").alias("exit_time")] if "timestamp" in ledger.columns else []
     # an exit bar belongs to the trade before it; its costs count
     out = df.groupBy(*keys, "trade_id").agg(
-        at(enter, "bar_idx").alias("entry_idx"), at(leave, "_time").alias("exit_idx"), at(enter, "_price").alias("entry_price"), at(leave, "_price").alias("exit_price"), at(leave, "bar_idx").alias("_x"),
+        *times, at(enter, "bar_idx").alias("entry_idx"), at(leave, "_time").alias("exit_idx"), at(enter, "_price").alias("entry_price"), at(leave, "_price").alias("exit_price"), at(leave, "bar_idx").alias("_x"),
         at(enter, "_equity").alias("_e0"), at(leave, "equity").alias("_e1"), F.sum("fee_drag").alias("fees_paid"), F.sum("slippage_drag").alias("slippage_paid")).where("_x is not null")
     pnl = F.col("_e1") - F.col("_e0")
-    return out.select(*keys, "trade_id", "entry_idx", "exit_idx", "entry_price", "exit_price", (F.col("_x") - F.col("entry_idx")).alias("holding_bars"), pnl.alias("pnl_dollars"), F.try_divide(pnl, "_e0").alias("pnl_pct"), "fees_paid", "slippage_paid")
+    named = ["entry_time", "exit_time"] if times else []
+    return out.select(*keys, "trade_id", *named, "entry_idx", "exit_idx", "entry_price", "exit_price", (F.col("_x") - F.col("entry_idx")).alias("holding_bars"), pnl.alias("pnl_dollars"), F.try_divide(pnl, "_e0").alias("pnl_pct"), "fees_paid", "slippage_paid")
 
 
 def trade_summary(found: DataFrame, runs: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -82,6 +86,12 @@ def markers(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     return ledger.withColumn("change", change).where("change <> 0").select(*keys, "bar_idx", "close", F.when(F.col("change") > 0, "buy").otherwise("sell").alias("side"))
 
 
+def equity_curves(ledger: DataFrame, benchmark: str, keys: Sequence[str] = RUN) -> DataFrame:
+    """Each run's equity beside that of the benchmark run of its symbol, for a chart; bars without the benchmark stay, with null."""
+    mark = ledger.where(F.col("strategy") == benchmark).select("symbol", "bar_idx", F.col("equity").alias("benchmark"))
+    return ledger.select(*keys, "bar_idx", "equity").join(mark, ["symbol", "bar_idx"], "left")
+
+
 def by_mode(**summaries: DataFrame) -> DataFrame:
     """Summaries of several ways to run, one under the other, each row with its way."""
     tables = [df.withColumn("mode", F.lit(name)) for name, df in summaries.items()]

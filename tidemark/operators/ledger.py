@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +23,28 @@ def held(positions: np.ndarray, least: int) -> np.ndarray:
 
 
 def min_hold(df: DataFrame, least: int, keys: Sequence[str]) -> DataFrame:
-    """The one true recurrence: a state machine along each run's bars, one run a group."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        m = int(pdf["_least"].iloc[0])
-        return pdf.assign(position=held(pdf["position"].to_numpy(), m)) if m > 1 else pdf
+    """The one true recurrence: a state machine along each run's bars, one run a group.
 
-    df = df.withColumn("_least", F.lit(least) if isinstance(least, int) else least)
-    return df.groupBy(*keys).applyInPandas(run, df.schema).drop("_least")
+    Only positions are touched; the other columns pass through as Arrow data.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bar_idx")
+        m = table["_least"][0].as_py()
+        if m <= 1:
+            return table
+        at = table.column_names.index("position")
+        return table.set_column(at, table.field(at), pa.array(held(table["position"].to_numpy(), m)))
+
+    df = df.withColumn("_least", (F.lit(least) if isinstance(least, int) else least).cast("int"))
+    return df.groupBy(*keys).applyInArrow(run, df.schema).drop("_least")
+
+
+def resolve(df: DataFrame, w, capital: float) -> DataFrame:
+    """Equity from returns along ``w``, and what it is made of: units held over the bar, and cash."""
+    df = df.withColumn("equity", capital * S.running_product(1 + F.col("strategy_return"), w))
+    prior, last = F.coalesce(F.lag("equity").over(w), F.lit(capital)), F.lag("close").over(w)
+    df = df.withColumn("units", F.coalesce(F.try_divide(F.col("position") * prior, last), F.lit(0.0)))
+    return df.withColumn("cash", prior * (1 - F.col("position") - F.col("fee_drag") - F.col("slippage_drag")))
 
 
 def ledger(df: DataFrame, keys: Sequence[str] = S.KEYS, fee: float = 0.001, capital: float = 10_000.0, slippage_bps: float = 5.0, min_holding: int = 0) -> DataFrame:
@@ -39,12 +53,12 @@ def ledger(df: DataFrame, keys: Sequence[str] = S.KEYS, fee: float = 0.001, capi
     df = df.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0.0)))
     if not isinstance(min_holding, int) or min_holding > 1:
         df = min_hold(df, min_holding, keys)
-    df = df.withColumn("asset_return", F.coalesce(S.change("close", w), F.lit(0.0))).withColumn("turnover", F.coalesce(F.abs(F.col("position") - F.lag("position").over(w)), F.lit(0.0)))
-    df = df.withColumn("gross_return", F.col("position") * F.col("asset_return")).withColumn("fee_drag", F.col("turnover") * fee).withColumn("slippage_drag", F.col("turnover") * (slippage_bps / 10_000))
+    df = df.withColumn("asset_return", F.coalesce(S.change("close", w), F.lit(0.0)))
+    df = df.withColumn("turnover", F.coalesce(F.abs(F.col("position") - F.lag("position").over(w)), F.lit(0.0)))
+    df = df.withColumn("gross_return", F.col("position") * F.col("asset_return"))
+    df = df.withColumn("fee_drag", F.col("turnover") * fee).withColumn("slippage_drag", F.col("turnover") * (slippage_bps / 10_000))
     df = df.withColumn("strategy_return", F.col("gross_return") - F.col("fee_drag") - F.col("slippage_drag"))
-    df = df.withColumn("equity", capital * S.running_product(1 + F.col("strategy_return"), w))
-    prior, last = F.coalesce(F.lag("equity").over(w), F.lit(capital)), F.lag("close").over(w)
-    return df.withColumn("units", F.coalesce(F.try_divide(F.col("position") * prior, last), F.lit(0.0))).withColumn("cash", prior * (1 - F.col("position") - F.col("fee_drag") - F.col("slippage_drag")))
+    return resolve(df, w, capital)
 
 
 def signals(df: DataFrame, strategies: Sequence, keys: Sequence[str] = S.KEYS) -> DataFrame:

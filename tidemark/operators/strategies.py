@@ -55,7 +55,8 @@ class RSIMeanReversion(Strategy):
     def __init__(self, window: int = 14, buy_below: float = 30.0, exit_above: float = 50.0):
         if buy_below >= exit_above:
             raise ValueError("buy_below must be less than exit_above")
-        self.window, self.low, self.high, self.name = window, buy_below, exit_above, f"RSIMeanReversion({window},{buy_below},{exit_above})"
+        self.window, self.low, self.high = window, buy_below, exit_above
+        self.name = f"RSIMeanReversion({window},{buy_below},{exit_above})"
 
     def add(self, df, out="signal", keys=S.KEYS):
         rsi = f"_{out}_rsi"
@@ -130,15 +131,35 @@ def sharpe_weights(values: Sequence[float]) -> list[float] | None:
     return [v / sum(up) for v in up] if sum(up) > 0 else None
 
 
-def _soft(members: Sequence[dict], weights=None, member_sharpes=None) -> SoftVoting:
-    return SoftVoting([build(**m) for m in members], weights if weights is not None else sharpe_weights(member_sharpes) if member_sharpes else None)
+def filtered_crossover(fast: int = 20, slow: int = 50, rsi_window: int = 14, rsi_overbought: float = 70.0) -> RSIFilter:
+    return RSIFilter(MACrossover(fast, slow), rsi_window, rsi_overbought)
 
 
-def _filtered(fast: int = 20, slow: int = 50, window: int = 14, overbought: float = 70.0) -> RSIFilter:
-    return RSIFilter(MACrossover(fast, slow), window, overbought)
+def soft_voting(
+    fast: int = 20, slow: int = 50, rsi_window: int = 14, buy_below: float = 30.0, exit_above: float = 50.0, entry_window: int = 20, exit_window: int = 10,
+    member_sharpes: Sequence[float] | None = None, weights: Sequence[float] | None = None,
+) -> SoftVoting:
+    """Crossover, mean reversion and breakout; given weights count before those that Sharpe ratios give."""
+    members = [MACrossover(fast, slow), RSIMeanReversion(rsi_window, buy_below, exit_above), DonchianBreakout(entry_window, exit_window)]
+    return SoftVoting(members, weights if weights is not None else sharpe_weights(member_sharpes or []))
 
 
-REGISTRY = {"buy_and_hold": BuyAndHold, "ma_crossover": MACrossover, "tsmom": TSMOM, "rsi_mean_reversion": RSIMeanReversion, "donchian_breakout": DonchianBreakout, "rsi_filtered_crossover": _filtered, "soft_voting_ensemble": _soft}
+def hard_voting() -> Voting:
+    """The fixed ensemble: two of three."""
+    return Voting([RSIFilter(MACrossover(20, 50)), RSIMeanReversion(10, 20, 50), DonchianBreakout(20, 10)], 2)
+
+
+# The names that a configuration uses.
+REGISTRY = {
+    "buy_and_hold": BuyAndHold,
+    "ma_crossover": MACrossover,
+    "rsi_mean_reversion": RSIMeanReversion,
+    "donchian_breakout": DonchianBreakout,
+    "tsmom": TSMOM,
+    "rsi_filtered_crossover": filtered_crossover,
+    "soft_voting_ensemble": soft_voting,
+    "hard_voting_ensemble": hard_voting,
+}
 
 
 def build(strategy: str, **params) -> Strategy:
@@ -146,6 +167,6 @@ def build(strategy: str, **params) -> Strategy:
     return REGISTRY[strategy](**params)
 
 
-def hard_voting() -> Voting:
-    """The fixed ensemble: two of three."""
-    return Voting([RSIFilter(MACrossover(20, 50)), RSIMeanReversion(10, 20, 50), DonchianBreakout(20, 10)], 2)
+def build_all(entries: Sequence[dict]) -> list[Strategy]:
+    """The strategies of a configuration's list of names and params."""
+    return [build(e["name"], **(e.get("params") or {})) for e in entries]

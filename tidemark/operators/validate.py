@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.operators import evaluate as E
-from tidemark.operators.ledger import ledger
+from tidemark.operators.ledger import ledger, resolve
 from tidemark.sources.bars import normal, uniform
 
 
@@ -35,7 +35,9 @@ def folds(bars: DataFrame, train: int, test: int, expanding: bool = False) -> Da
 def sliced(bars: DataFrame, ranges: DataFrame, role: str) -> DataFrame:
     """The bars of each fold's range, numbered anew: indicators warm up inside it."""
     both = bars.join(ranges, "symbol").where((F.col("bar_idx") >= F.col(f"{role}_start")) & (F.col("bar_idx") < F.col(f"{role}_end")))
-    return both.select("symbol", "fold", F.col("bar_idx").alias("global_idx"), (F.col("bar_idx") - F.col(f"{role}_start")).alias("bar_idx"), "close")
+    given = [c for c in ("timestamp",) if c in bars.columns]
+    place = [F.col("bar_idx").alias("global_idx"), (F.col("bar_idx") - F.col(f"{role}_start")).alias("bar_idx")]
+    return both.select("symbol", "fold", *given, *place, "close")
 
 
 def runs(bars: DataFrame, candidates: Sequence, keys: Sequence[str]) -> DataFrame:
@@ -47,17 +49,34 @@ def runs(bars: DataFrame, candidates: Sequence, keys: Sequence[str]) -> DataFram
     return bars.select(*base, F.explode(each).alias("_r")).select(*base, "_r.*")
 
 
-def walk_forward(bars: DataFrame, candidates: Sequence, train: int, test: int, expanding: bool = False, metric: str = "sharpe", capital: float = 10_000.0) -> tuple[DataFrame, DataFrame]:
-    """(selections, stitched): the best candidate of each fold on its training bars (nulls last, the first of equals), and its test bars in a row."""
+def walk_forward(
+    bars: DataFrame, candidates: Sequence, train: int, test: int, expanding: bool = False, metric: str = "sharpe", capital: float = 10_000.0, **costs
+) -> tuple[DataFrame, DataFrame]:
+    """(selections, stitched): the best candidate of each fold on its training bars (nulls last, the first of equals), and its test bars in a row.
+
+    The stitched ledger is solved again over the joined folds, so cash and units belong to its equity; costs are the folds' own.
+    Its strategy is named after the first fold's.
+    """
     ranges = folds(bars, train, test, expanding)
     keys = ("symbol", "fold", "param_id", "strategy")
-    score = E.summary(ledger(runs(sliced(bars, ranges, "train"), candidates, ("symbol", "fold")), keys), keys)
+    costs = {"capital": capital, **costs}
+    score = E.summary(ledger(runs(sliced(bars, ranges, "train"), candidates, ("symbol", "fold")), keys, **costs), keys)
     order = Window.partitionBy("symbol", "fold").orderBy(F.col(metric).desc_nulls_last(), "param_id")
     chosen = score.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("symbol", "fold", "param_id", "strategy", F.col(metric).alias("score"))
-    out = ledger(runs(sliced(bars, ranges, "test"), candidates, ("symbol", "fold")), keys).join(chosen.select("symbol", "fold", "param_id"), ["symbol", "fold", "param_id"])
+    tested = runs(sliced(bars, ranges, "test"), candidates, ("symbol", "fold")).join(chosen.select("symbol", "fold", "param_id"), ["symbol", "fold", "param_id"])
     w = S.by(("symbol",), "global_idx")
-    flat = out.withColumn("equity", capital * S.running_product(1 + F.col("strategy_return"), w)).withColumn("bar_idx", F.row_number().over(w).cast("long") - 1)
-    return chosen, flat
+    flat = resolve(ledger(tested, keys, **costs), w, capital).withColumn("bar_idx", F.row_number().over(w).cast("long") - 1)
+    name = F.concat(F.lit("WalkForward("), F.first("strategy").over(S.upto(w)), F.lit(")"))
+    return chosen, flat.withColumn("chosen", F.col("strategy")).withColumn("strategy", name)
+
+
+def fold_report(chosen: DataFrame, stitched: DataFrame) -> DataFrame:
+    """What each fold chose, and how that did on its test bars."""
+    fold = stitched.select("symbol", "fold", "param_id", F.col("chosen").alias("strategy"), F.col("global_idx").alias("bar_idx"), "strategy_return", "turnover")
+    w = S.by(("symbol", "fold"))
+    own = fold.withColumn("equity", S.running_product(1 + F.col("strategy_return"), w))
+    done = E.summary(own, ("symbol", "fold", "param_id", "strategy"))
+    return done.select("symbol", "fold", "strategy", "sharpe", "total_return").join(chosen.select("symbol", "fold", F.col("score").alias("train_score")), ["symbol", "fold"])
 
 
 def stability(chosen: DataFrame) -> DataFrame:
@@ -68,11 +87,12 @@ def stability(chosen: DataFrame) -> DataFrame:
     return n.where("_n = 1").select("symbol", "param_id", "strategy", "times", "folds", (F.col("times") * 2 > F.col("folds")).alias("stable"))
 
 
-def sweep(bars: DataFrame, candidates: Sequence, holds: Sequence[int] = (0,)) -> DataFrame:
+def sweep(bars: DataFrame, candidates: Sequence, holds: Sequence[int] = (0,), **costs) -> DataFrame:
     """Each candidate with each holding period: metrics and what costs took."""
     df = runs(bars, candidates, ("symbol",)).withColumn("min_holding", F.explode(F.array(*map(F.lit, holds))))
     keys = ("symbol", "param_id", "strategy", "min_holding")
-    done = ledger(df.select("symbol", "param_id", "strategy", "min_holding", "bar_idx", "close", "signal"), keys, min_holding=F.col("min_holding") if any(h > 1 for h in holds) else 0)
+    least = F.col("min_holding") if any(h > 1 for h in holds) else 0
+    done = ledger(df.select("symbol", "param_id", "strategy", "min_holding", "bar_idx", "close", "signal"), keys, min_holding=least, **costs)
     return E.summary(done, keys).join(done.groupBy(*keys).agg((F.sum("fee_drag") + F.sum("slippage_drag")).alias("cost_drag")), list(keys))
 
 
@@ -111,6 +131,38 @@ def percentiles(stats: DataFrame, keys: Sequence[str] = E.RUN, at: Sequence[int]
     return stats.groupBy(*keys).agg(*p("final_equity"), *p("max_drawdown"), *p("sharpe"), F.avg((F.col("final_equity") < F.col("start")).cast("double")).alias("prob_loss"))
 
 
+def actual(done: DataFrame, keys: Sequence[str] = E.RUN) -> DataFrame:
+    """What the runs themselves came to: actual_final_equity, actual_max_drawdown, actual_sharpe."""
+    found = E.drawdown(done, keys).groupBy(*keys)
+    return found.agg(F.max_by("equity", "bar_idx").alias("actual_final_equity"), F.min("drawdown").alias("actual_max_drawdown"), E.sharpe("strategy_return").alias("actual_sharpe"))
+
+
+def bootstrap_report(done: DataFrame, trials: int, block: int = 20, seed: int = 42, keys: Sequence[str] = E.RUN) -> DataFrame:
+    """Percentiles of the trials beside the actual figures, a row a run; runs of equal length share their draws."""
+    return percentiles(trial_stats(bootstrap(done, trials, block, seed, keys), keys), keys).join(actual(done, keys), list(keys))
+
+
+def sample_paths(paths: DataFrame, n: int = 100) -> DataFrame:
+    """The equity paths of the first n trials, for a chart."""
+    return paths.where(F.col("trial") < n)
+
+
+def drawdown_comparison(done: DataFrame, ensemble: str, members: Sequence[str], trials: int, block: int = 20, seed: int = 42) -> DataFrame:
+    """The drawdowns of an ensemble and of its members on the same draws."""
+    some = done.where(F.col("strategy").isin([ensemble, *members]))
+    report = bootstrap_report(some, trials, block, seed)
+    drawdowns = [c for c in report.columns if c.startswith("max_drawdown_p")]
+    return report.select("symbol", "strategy", (F.col("strategy") == ensemble).alias("is_ensemble"), "actual_max_drawdown", *drawdowns)
+
+
+def noise_report(bars: DataFrame, strategy, trials: int, sigma: float, seed: int = 42, **costs) -> DataFrame:
+    """Percentiles of final equity on perturbed bars beside that on the bars themselves."""
+    trials_ = noise_robustness(bars, strategy, trials, sigma, seed, **costs)
+    found = trials_.groupBy("symbol").agg(*[F.expr(f"percentile(final_equity, {q / 100})").alias(f"final_equity_p{q}") for q in (5, 25, 50, 75, 95)])
+    own = ledger(strategy.add(bars), **costs).groupBy("symbol").agg(F.max_by("equity", "bar_idx").alias("actual_final_equity"))
+    return found.join(own, "symbol")
+
+
 def perturbed(bars: DataFrame, trials: int, sigma: float, seed: int = 42) -> DataFrame:
     """Each trial's bars: one factor 1 + N(0, sigma) a bar for the prices; volume is left alone."""
     df = bars.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
@@ -118,10 +170,18 @@ def perturbed(bars: DataFrame, trials: int, sigma: float, seed: int = 42) -> Dat
     return df.withColumn("_f", f).select("symbol", "trial", "timestamp", "bar_idx", *[(F.col(c) * F.col("_f")).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
-def noise_robustness(bars: DataFrame, strategy, trials: int, sigma: float, seed: int = 42) -> DataFrame:
+def noise_robustness(bars: DataFrame, strategy, trials: int, sigma: float, seed: int = 42, **costs) -> DataFrame:
     """Final equity of the strategy on each trial's perturbed bars."""
     keys = ("symbol", "trial")
-    return ledger(strategy.add(perturbed(bars, trials, sigma, seed), "signal", keys), keys).groupBy(*keys).agg(F.max_by("equity", "bar_idx").alias("final_equity"))
+    done = ledger(strategy.add(perturbed(bars, trials, sigma, seed), "signal", keys), keys, **costs)
+    return done.groupBy(*keys).agg(F.max_by("equity", "bar_idx").alias("final_equity"))
+
+
+def best_bootstrap(done: DataFrame, trials: int, block: int = 20, seed: int = 42, metric: str = "sharpe") -> DataFrame:
+    """The bootstrap of each symbol's run with the greatest metric (nulls last, the first by name among equals)."""
+    order = Window.partitionBy("symbol").orderBy(F.round(metric, 9).desc_nulls_last(), "strategy")
+    best = E.summary(done).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("symbol", "strategy")
+    return bootstrap_report(done.join(best, ["symbol", "strategy"]), trials, block, seed)
 
 
 def best_run(metrics: DataFrame, metric: str = "sharpe") -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.streaming import live
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-FAST, SLOW, LOOK, TRAIN, TEST, TRIALS, BLOCK, SIGMA = 5, 20, 24, 200, 60, 100, 20, 0.001
+FAST, SLOW, LOOK, TRAIN, TEST, TRIALS, NOISY, SHOWN, COMPARED, BLOCK, SIGMA = 5, 20, 24, 200, 60, 2000, 2000, 20, 500, 20, 0.001
 TRIO = (G.MACrossover(FAST, SLOW), G.TSMOM(LOOK), G.BuyAndHold())
 CANDIDATES = (G.MACrossover(5, 20), G.MACrossover(10, 30), G.TSMOM(24))
 
@@ -51,7 +51,8 @@ def stamped(df: DataFrame) -> DataFrame:
 @query(O.query(O.BARS, select=f"SELECT symbol, {STAMP}, {O.r('open')} AS open, {O.r('high')} AS high, {O.r('low')} AS low, {O.r('close')} AS close, {O.r('volume', 4)} AS volume FROM hb"))
 def bars_hourly(spark, sf):
     df = stamped(B.tick_bars(ticks(spark, sf)).drop("mean"))
-    return rounded(df.drop("volume")).join(rounded(df.select("symbol", "at", "volume"), 4), ["symbol", "at"])
+    prices = [(F.round(c, 6) + 0.0).alias(c) for c in ("open", "high", "low", "close")]
+    return df.select("symbol", "at", *prices, (F.round("volume", 4) + 0.0).alias("volume"))
 
 
 @query(O.query(O.BARS, select=f"SELECT symbol, {STAMP}, bar_idx, {O.r('open')} AS open, {O.r('high')} AS high, {O.r('low')} AS low, {O.r('close')} AS close FROM bars"))
@@ -99,7 +100,13 @@ def _feature(name: str, expression, sql: str, n: int = 6):
 
 
 _feature("feat_sma", lambda w: S.rolling(F.avg, "close", 20, w), O.rolling("avg", 20))
-_feature("feat_ema", lambda w: S.ewm("close", 2 / 21, w), O.ewm("close", 2 / 21))
+
+
+@query(O.query(O.BARS, select=f"SELECT symbol, bar_idx, {O.r(O.ewm('close', 2 / 21))} AS value FROM bars"))
+def feat_ema(spark, sf):
+    return rounded(S.with_ewm(bars(spark, sf), {"value": ("close", 2 / 21)}).select("symbol", "bar_idx", "value"))
+
+
 _feature("feat_returns", lambda w: S.change("close", w), f"close / lag(close) {O.over('symbol')} - 1", 9)
 _feature("feat_rolling_max", lambda w: S.rolling(F.max, "close", 20, w), O.rolling("max", 20))
 _feature("feat_rolling_min", lambda w: S.rolling(F.min, "close", 20, w), O.rolling("min", 20))
@@ -138,6 +145,13 @@ def _signal(name: str, strategy, ctes, sql: str, src: str):
     query(O.query(O.BARS, *ctes, select=f"SELECT symbol, bar_idx, {O.r(f'({sql})::DOUBLE')} AS signal FROM {src}"))(f)
 
 
+_HARD = (
+    O.rsi("bars", 14, "rs"), f"mm AS (SELECT * EXCLUDE (rsi), CASE WHEN rsi > 70 THEN 0.0 ELSE {O.ma(20, 50)} END AS s1 FROM rs)",
+    O.rsi("mm", 10, "rt"), f"mr AS (SELECT * EXCLUDE (rsi), {O.hold('rsi < 20', 'rsi > 50')} AS s2 FROM rt)", O.donchian("mr", 20, 10, "dd"),
+)
+_SIGNALS["sig_hard_ensemble"] = (G.hard_voting(), _HARD, "CASE WHEN s1 + s2 + donchian >= 2 THEN 1.0 ELSE 0.0 END", "dd")
+_SIGNALS["sig_soft_ensemble"] = (G.build("soft_voting_ensemble", rsi_window=10, buy_below=20, member_sharpes=[0.25, -0.5, 0.75]), _HARD, f"0.25 * {O.ma(20, 50)} + 0.75 * donchian", "dd")
+
 for _name, _parts in _SIGNALS.items():
     _signal(_name, *_parts)
 
@@ -212,15 +226,16 @@ def m_best_run(spark, sf):
 
 _TW = O.over(RUN)
 TRADES = (
-    f"tq AS (SELECT *, position <> 0 AS i, coalesce(lag(position <> 0) {_TW}, false) AS was, lag(close) {_TW} AS price, lag(equity) {_TW} AS before FROM lg)",
+    f"tq AS (SELECT *, position <> 0 AS i, coalesce(lag(position <> 0) {_TW}, false) AS was, lag(close) {_TW} AS price, lag(timestamp) {_TW} AS ts_before, lag(equity) {_TW} AS before FROM lg)",
     f"ti AS (SELECT *, sum(CASE WHEN i AND NOT was THEN 1 ELSE 0 END) {_TW} AS trade_id FROM tq)",
-    "tr AS (SELECT symbol, strategy, trade_id::BIGINT AS trade_id, max(bar_idx) FILTER (i AND NOT was) AS entry_idx, max(bar_idx) FILTER (was AND NOT i) AS x, max(price) FILTER (i AND NOT was) AS entry_price, max(price) FILTER (was AND NOT i) AS exit_price, max(before) FILTER (i AND NOT was) AS e0, max(equity) FILTER (was AND NOT i) AS e1, sum(fee_drag) AS fees_paid, sum(slippage_drag) AS slippage_paid FROM ti WHERE i OR was GROUP BY 1, 2, 3 HAVING count(*) FILTER (was AND NOT i) > 0)",
+    "tr AS (SELECT symbol, strategy, trade_id::BIGINT AS trade_id, max(bar_idx) FILTER (i AND NOT was) AS entry_idx, max(bar_idx) FILTER (was AND NOT i) AS x, max(price) FILTER (i AND NOT was) AS entry_price, max(price) FILTER (was AND NOT i) AS exit_price, max(before) FILTER (i AND NOT was) AS e0, max(equity) FILTER (was AND NOT i) AS e1, max(timestamp) FILTER (i AND NOT was) AS t0, max(ts_before) FILTER (was AND NOT i) AS t1, sum(fee_drag) AS fees_paid, sum(slippage_drag) AS slippage_paid FROM ti WHERE i OR was GROUP BY 1, 2, 3 HAVING count(*) FILTER (was AND NOT i) > 0)",
 )
 
 
-@query(O.query(*TRIO_LEDGER, *TRADES, select=f"SELECT symbol, strategy, trade_id, entry_idx, x - 1 AS exit_idx, {O.r('entry_price')} AS entry_price, {O.r('exit_price')} AS exit_price, x - entry_idx AS holding_bars, {O.r('e1 - e0')} AS pnl_dollars, {O.r('(e1 - e0) / e0')} AS pnl_pct, {O.r('fees_paid')} AS fees_paid, {O.r('slippage_paid')} AS slippage_paid FROM tr"))
+@query(O.query(*TRIO_LEDGER, *TRADES, select=f"SELECT symbol, strategy, trade_id, strftime(t0, '%Y-%m-%d %H:%M:%S') AS entry_time, strftime(t1, '%Y-%m-%d %H:%M:%S') AS exit_time, entry_idx, x - 1 AS exit_idx, {O.r('entry_price')} AS entry_price, {O.r('exit_price')} AS exit_price, x - entry_idx AS holding_bars, {O.r('e1 - e0')} AS pnl_dollars, {O.r('(e1 - e0) / e0')} AS pnl_pct, {O.r('fees_paid')} AS fees_paid, {O.r('slippage_paid')} AS slippage_paid FROM tr"))
 def trades_extract(spark, sf):
-    return rounded(E.trades(trio_ledger(spark, sf)))
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("entry_time", "exit_time")}
+    return rounded(E.trades(trio_ledger(spark, sf)).withColumns(times))
 
 
 _P = "(e1 - e0)"
@@ -258,10 +273,50 @@ def wf_select(spark, sf):
     return rounded(V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)[0])
 
 
-@query(O.query(*SELECT_CTE, *_fold_runs("test", "te"), "jn AS (SELECT te.* FROM te JOIN ch USING (symbol, fold, param_id))", select=f"SELECT symbol, fold, global_idx, row_number() OVER (PARTITION BY symbol ORDER BY global_idx) - 1 AS bar_idx, {O.r('strategy_return', 9)} AS strategy_return, {O.r('10000.0 * product(1 + strategy_return) OVER (PARTITION BY symbol ORDER BY global_idx)')} AS equity FROM jn"))
+_SW = "OVER (PARTITION BY symbol ORDER BY global_idx)"
+STITCH = (
+    *_fold_runs("test", "te"),
+    "jn AS (SELECT te.* EXCLUDE (equity, units, cash, drawdown, strategy), te.strategy AS chosen FROM te JOIN ch USING (symbol, fold, param_id))",
+    f"je AS (SELECT *, 'WalkForward(' || first_value(chosen) {_SW} || ')' AS strategy, 10000.0 * product(1 + strategy_return) {_SW} AS equity FROM jn)",
+    f"js AS (SELECT * EXCLUDE (bar_idx), row_number() {_SW} - 1 AS bar_idx, coalesce(position * coalesce(lag(equity) {_SW}, 10000.0) / lag(close) {_SW}, 0) AS units,"
+    f" coalesce(lag(equity) {_SW}, 10000.0) * (1 - position - fee_drag - slippage_drag) AS cash, equity / max(equity) {_SW} - 1 AS drawdown FROM je)",
+)
+_STITCHED_COLUMNS = ", ".join(f"{O.r(c)} AS {c}" for c in ("position", "equity", "units", "cash"))
+
+
+@query(O.query(*SELECT_CTE, *STITCH, select=f"SELECT symbol, fold, strategy, chosen, global_idx, bar_idx, {O.r('strategy_return', 9)} AS strategy_return, {_STITCHED_COLUMNS} FROM js"))
 def wf_stitch(spark, sf):
     df = V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)[1]
-    return df.select("symbol", "fold", "global_idx", "bar_idx", (F.round("strategy_return", 9) + 0.0).alias("strategy_return"), (F.round("equity", 6) + 0.0).alias("equity"))
+    money = [(F.round(c, 6) + 0.0).alias(c) for c in ("position", "equity", "units", "cash")]
+    return df.select("symbol", "fold", "strategy", "chosen", "global_idx", "bar_idx", (F.round("strategy_return", 9) + 0.0).alias("strategy_return"), *money)
+
+
+@query(O.query(
+    *SELECT_CTE, *STITCH,
+    select=f"SELECT symbol, strategy, count(*) FILTER (WHERE turnover > 0) AS trade_count, {O.r('max(abs(cash + units * close - equity))', 4)} AS worst FROM js GROUP BY 1, 2"))
+def wf_stitched_trades(spark, sf):
+    df = V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)[1]
+    off = F.max(F.abs(F.col("cash") + F.col("units") * F.col("close") - F.col("equity")))
+    return rounded(df.groupBy("symbol", "strategy").agg(F.count_if(F.col("turnover") > 0).alias("trade_count"), F.round(off, 4).alias("worst")))
+
+
+_FR = "fr AS (SELECT *, product(1 + strategy_return) OVER (PARTITION BY symbol, fold ORDER BY global_idx) AS own FROM js)"
+
+
+@query(O.query(
+    *SELECT_CTE, *STITCH, _FR,
+    f"fs AS (SELECT symbol, fold, param_id, chosen AS strategy, {O.SHARPE} AS sharpe, arg_max(own, global_idx) / arg_min(own, global_idx) - 1 AS total_return FROM fr GROUP BY 1, 2, 3, 4)",
+    select=f"SELECT symbol, fold, fs.strategy, {O.r('sharpe')} AS sharpe, {O.r('total_return')} AS total_return, {O.r('score')} AS train_score FROM fs JOIN ch USING (symbol, fold)"))
+def wf_fold_report(spark, sf):
+    return rounded(V.fold_report(*V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)))
+
+
+_EXPANDING = FOLDS.replace(f"fold * {TEST} AS train_start", "0 AS train_start")
+
+
+@query(O.query(O.BARS, _EXPANDING, *_fold_runs("train", "tn"), SELECT_CTE[-2], SELECT_CTE[-1], select=f"SELECT symbol, fold, param_id, strategy, {O.r('score')} AS score FROM ch"))
+def wf_expanding(spark, sf):
+    return rounded(V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST, expanding=True)[0])
 
 
 @query(O.query(*SELECT_CTE, "ct AS (SELECT symbol, param_id, strategy, count(*) AS times, min(fold) AS first FROM ch GROUP BY 1, 2, 3)", "cu AS (SELECT *, sum(times) OVER (PARTITION BY symbol)::BIGINT AS folds FROM ct)", select="SELECT symbol, param_id, strategy, times, folds, times * 2 > folds AS stable FROM cu QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY times DESC, first) = 1"))
@@ -318,6 +373,12 @@ def mc_block_index(spark, sf):
     return V.bootstrap_index(n, TRIALS, BLOCK).groupBy("symbol", "trial").agg(F.count("*").alias("steps"), F.sum("idx").alias("total"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
 
 
+@query(O.query(*MA_LEDGER, *(x.replace(f"n - {BLOCK} + 1", "n").replace(f"n >= {BLOCK}", "n >= 1").replace(f"n / {BLOCK}.0", "n / 1.0").replace(f"max(n) / {BLOCK}.0", "max(n) / 1.0").replace(f"b * {BLOCK}", "b").replace(f"range({BLOCK})", "range(1)").replace(f"range({TRIALS})", "range(100)") for x in INDEX), select="SELECT symbol, trial, count(*) AS steps, sum(idx)::BIGINT AS total, min(idx) AS lo, max(idx) AS hi FROM ix GROUP BY 1, 2"))
+def mc_iid_index(spark, sf):
+    n = bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"))
+    return V.bootstrap_index(n, 100, 1).groupBy("symbol", "trial").agg(F.count("*").alias("steps"), F.sum("idx").alias("total"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+
+
 MC = (
     *MA_LEDGER, *INDEX,
     "dr AS (SELECT ix.*, lg.strategy_return, ix.start * product(1 + lg.strategy_return) OVER (PARTITION BY ix.symbol, trial ORDER BY step) AS equity FROM ix JOIN lg ON ix.symbol = lg.symbol AND ix.idx = lg.bar_idx)",
@@ -349,19 +410,59 @@ def mc_hist(spark, sf):
     return E.histogram(_trials(spark, sf), "final_equity")
 
 
+_RUNS = (
+    INDEX[0].replace("AS (SELECT symbol, count(*) AS n", "AS (SELECT symbol, strategy, count(*) AS n").replace("FROM lg GROUP BY 1)", "FROM {src} GROUP BY 1, 2)"),
+    INDEX[1].replace("SELECT symbol, n,", "SELECT symbol, strategy, n,"), INDEX[2].replace("SELECT symbol, start,", "SELECT symbol, strategy, start,"),
+    "dr AS (SELECT ix.*, l.strategy_return, ix.start * product(1 + l.strategy_return) OVER (PARTITION BY ix.symbol, ix.strategy, trial ORDER BY step) AS equity"
+    " FROM ix JOIN {src} l ON ix.symbol = l.symbol AND ix.strategy = l.strategy AND ix.idx = l.bar_idx)",
+    "dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol, strategy, trial ORDER BY step) - 1 AS down FROM dr)",
+    f"ts AS (SELECT symbol, strategy, trial, arg_max(equity, step) AS final_equity, min(down) AS max_drawdown, {O.SHARPE} AS sharpe, min(start) AS start FROM dd GROUP BY 1, 2, 3)",
+    f"ac AS (SELECT symbol, strategy, arg_max(equity, bar_idx) AS actual_final_equity, min(drawdown) AS actual_max_drawdown, {O.SHARPE} AS actual_sharpe FROM {{src}} GROUP BY 1, 2)",
+)
+_DOWN = ", ".join(f"{O.r(f'quantile_cont(max_drawdown, {q / 100})', 4)} AS max_drawdown_p{q}" for q in (5, 25, 50, 75, 95))
+_VOTED = f"SELECT symbol, bar_idx, timestamp, close, 'vote' AS strategy, CASE WHEN {_MA} + {O.tsmom(LOOK)} + 1.0 >= 2 THEN 1.0 ELSE 0.0 END AS signal FROM bars"
+
+
+@query(O.query(
+    O.BARS, f"sg AS ({_TRIO} UNION ALL {_VOTED})", O.ledger("sg", "lg", RUN), *(x.replace("{src}", "lg").replace(f"range({TRIALS})", f"range({COMPARED})") for x in _RUNS),
+    f"pc AS (SELECT symbol, strategy, {_DOWN} FROM ts GROUP BY 1, 2)",
+    select=f"SELECT symbol, strategy, strategy = 'vote' AS is_ensemble, {O.r('actual_max_drawdown', 4)} AS actual_max_drawdown, pc.* EXCLUDE (symbol, strategy) FROM pc JOIN ac USING (symbol, strategy)"))
+def mc_ensemble_drawdowns(spark, sf):
+    vote = G.Voting(TRIO, 2)
+    done = L.ledger(L.signals(bars(spark, sf), (*TRIO, vote)), E.RUN)
+    found = V.drawdown_comparison(done, vote.name, [s.name for s in TRIO], COMPARED, BLOCK)
+    return rounded(found.withColumn("strategy", F.when(F.col("is_ensemble"), "vote").otherwise(F.col("strategy"))), 4)
+
+
+@query(O.query(
+    *TRIO_LEDGER, f"sm AS (SELECT symbol, strategy, {O.SHARPE} AS sharpe FROM lg GROUP BY 1, 2)",
+    "bs AS (SELECT symbol, strategy FROM sm QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 9) DESC NULLS LAST, strategy) = 1)",
+    "lb AS (SELECT lg.* FROM lg JOIN bs USING (symbol, strategy))", *(x.replace("{src}", "lb") for x in _RUNS),
+    f"pc AS (SELECT symbol, strategy, {_PC}, {O.r('avg(CASE WHEN final_equity < start THEN 1.0 ELSE 0.0 END)', 4)} AS prob_loss FROM ts GROUP BY 1, 2)",
+    select=f"SELECT pc.*, {', '.join(f'{O.r(c, 4)} AS {c}' for c in ('actual_final_equity', 'actual_max_drawdown', 'actual_sharpe'))} FROM pc JOIN ac USING (symbol, strategy)"))
+def mc_best_run(spark, sf):
+    return rounded(V.best_bootstrap(trio_ledger(spark, sf), TRIALS, BLOCK), 4)
+
+
+@query(O.query(*MC, select=f"SELECT symbol, trial, step, {O.r('equity', 4)} AS equity FROM dd WHERE trial < 20"))
+def mc_sample_paths(spark, sf):
+    drawn = V.bootstrap(one_ledger(spark, sf), TRIALS, BLOCK, keys=("symbol",))
+    return rounded(V.sample_paths(drawn, 20).select("symbol", "trial", "step", "equity"), 4)
+
+
 _PT = "cast(42 AS VARCHAR) || ':' || t || ':' || symbol || ':' || bar_idx"
-NOISE = (O.BARS, f"nb AS (SELECT symbol, t::INT AS trial, bar_idx, timestamp, open * f AS open, close * f AS close, volume FROM (SELECT *, 1 + {SIGMA} * {O.normal(_PT)} AS f FROM bars, range(20) q(t)))")
+NOISE = (O.BARS, f"nb AS (SELECT symbol, t::INT AS trial, bar_idx, timestamp, open * f AS open, close * f AS close, volume FROM (SELECT *, 1 + {SIGMA} * {O.normal(_PT)} AS f FROM bars, range({SHOWN}) q(t)))")
 
 
 @query(O.query(*NOISE, select=f"SELECT symbol, trial, bar_idx, {O.r('open')} AS open, {O.r('close')} AS close, {O.r('volume', 4)} AS volume FROM nb"))
 def mc_perturb(spark, sf):
-    df = V.perturbed(bars(spark, sf), 20, SIGMA)
+    df = V.perturbed(bars(spark, sf), SHOWN, SIGMA)
     return df.select("symbol", "trial", "bar_idx", (F.round("open", 6) + 0.0).alias("open"), (F.round("close", 6) + 0.0).alias("close"), (F.round("volume", 4) + 0.0).alias("volume"))
 
 
-@query(O.query(*NOISE, f"sg AS (SELECT *, {O.ma(FAST, SLOW, 'symbol, trial')} AS signal FROM nb)", O.ledger("sg", "lg", "symbol, trial"), select=f"SELECT symbol, trial, {O.r('arg_max(equity, bar_idx)', 4)} AS final_equity FROM lg GROUP BY 1, 2"))
+@query(O.query(O.BARS, NOISE[1].replace(f"range({SHOWN})", f"range({NOISY})"), f"sg AS (SELECT *, {O.ma(FAST, SLOW, 'symbol, trial')} AS signal FROM nb)", O.ledger("sg", "lg", "symbol, trial"), select=f"SELECT symbol, trial, {O.r('arg_max(equity, bar_idx)', 4)} AS final_equity FROM lg GROUP BY 1, 2"))
 def mc_noise(spark, sf):
-    return rounded(V.noise_robustness(bars(spark, sf), TRIO[0], 20, SIGMA), 4)
+    return rounded(V.noise_robustness(bars(spark, sf), TRIO[0], NOISY, SIGMA), 4)
 
 
 @query(O.query(O.BARS, select=f"SELECT symbol, bar_idx, {O.r('close')} AS close FROM bars WHERE bar_idx >= 100 AND bar_idx < (SELECT max(bar_idx) FROM bars b WHERE b.symbol = bars.symbol)"))
@@ -379,7 +480,7 @@ def live_decision(spark, sf):
 DIFF = (
     *TRIO_LEDGER, f"la AS (SELECT symbol, timestamp, equity FROM lg WHERE strategy = '{TRIO[0].name}' AND bar_idx >= 50)", f"lb AS (SELECT symbol, timestamp, equity FROM lg WHERE strategy = '{TRIO[2].name}')",
     "lj AS (SELECT symbol, timestamp, la.equity AS live, lb.equity AS raw FROM la JOIN lb USING (symbol, timestamp))",
-    "lk AS (SELECT *, raw * first_value(live / raw) OVER (PARTITION BY symbol ORDER BY timestamp) AS backtested FROM lj)",
+    "lk AS (SELECT symbol, timestamp, raw AS backtested, live * first_value(raw / live) OVER (PARTITION BY symbol ORDER BY timestamp) AS live FROM lj)",
 )
 _DIFF = f"SELECT symbol, {STAMP}, {O.r('live')} AS live, {O.r('backtested')} AS backtested, {O.r('live - backtested')} AS abs_diff, {O.r('(live - backtested) / backtested')} AS pct_diff FROM lk"
 
@@ -419,15 +520,41 @@ def m_ensemble_turnover(spark, sf):
     return E.ensemble_turnover(E.summary(done), vote.name, [s.name for s in TRIO])
 
 
-_STITCHED = ("jn AS (SELECT te.* FROM te JOIN ch USING (symbol, fold, param_id))", "eq AS (SELECT symbol, 'walk_forward' AS strategy, global_idx AS bar_idx, strategy_return, turnover, 10000.0 * product(1 + strategy_return) OVER (PARTITION BY symbol ORDER BY global_idx) AS equity FROM jn)", "st AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS drawdown FROM eq)")
-
-
-@query(O.query(*SELECT_CTE, *_fold_runs("test", "te"), *_STITCHED, *TRIO_LEDGER[1:], select=f"SELECT *, 'plain' AS mode FROM ({O.summary('lg', RUN)}) UNION ALL SELECT *, 'walk_forward' AS mode FROM ({O.summary('st', RUN)})"))
+@query(O.query(
+    *SELECT_CTE, *STITCH, *TRIO_LEDGER[1:],
+    select=f"SELECT *, 'plain' AS mode FROM ({O.summary('lg', RUN)}) UNION ALL SELECT *, 'walk_forward' AS mode FROM ({O.summary('js', RUN)})"))
 def m_by_mode(spark, sf):
-    flat = V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)[1].withColumn("strategy", F.lit("walk_forward"))
+    flat = V.walk_forward(bars(spark, sf), CANDIDATES, TRAIN, TEST)[1]
     return rounded(E.by_mode(plain=E.summary(trio_ledger(spark, sf)), walk_forward=E.summary(flat)))
 
 
+@query(O.query(*TRIO_LEDGER, select=f"SELECT a.symbol, a.strategy, a.bar_idx, {O.r('a.equity')} AS equity, {O.r('b.equity')} AS benchmark FROM lg a JOIN lg b ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx AND b.strategy = 'BuyAndHold'"))
+def plot_equity(spark, sf):
+    return rounded(E.equity_curves(trio_ledger(spark, sf), "BuyAndHold"))
+
+
+@query(O.query(O.BARS, select=f"SELECT symbol, bar_idx, {O.r('close + CASE WHEN bar_idx BETWEEN 90 AND 99 THEN 1 ELSE 0 END')} AS close FROM bars WHERE bar_idx < 200"))
+def live_history(spark, sf):
+    df = bars(spark, sf)
+    revised = df.where("bar_idx >= 90 and bar_idx < 200").withColumn("close", F.col("close") + F.when(F.col("bar_idx") < 100, 1.0).otherwise(0.0))
+    return rounded(live.merged(df.where("bar_idx < 100"), revised).select("symbol", "bar_idx", "close"))
+
+
+_RAW = "rw AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS timestamp FROM events)"
+
+
+@query(O.query(
+    O.BARS, GAPS, _RAW, "dp AS (SELECT symbol, count(*) - count(DISTINCT timestamp) AS duplicates FROM rw GROUP BY 1)",
+    "gr AS (SELECT e.symbol, unnest(generate_series(e.a, e.b, to_microseconds(st.step_us))) AS timestamp FROM (SELECT symbol, min(timestamp) AS a, max(timestamp) AS b FROM hb GROUP BY 1) e JOIN st USING (symbol))",
+    "gp2 AS (SELECT g.symbol, g.timestamp, hb.symbol IS NULL AS lacks, count(hb.symbol) OVER (PARTITION BY g.symbol ORDER BY g.timestamp ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS near FROM gr g LEFT JOIN hb USING (symbol, timestamp))",
+    "gs AS (SELECT symbol, count(*) FILTER (lacks) AS missing, count(*) FILTER (lacks AND near > 0) AS filled, count(*) FILTER (lacks AND near = 0) AS dropped FROM gp2 GROUP BY 1)",
+    select="SELECT symbol, duplicates, coalesce(missing, 0) AS missing, coalesce(filled, 0) AS filled, coalesce(dropped, 0) AS dropped FROM dp LEFT JOIN gs USING (symbol)"))
+def clean_report(spark, sf):
+    raw = ticks(spark, sf)
+    stamps = raw.select(F.col("event_type").alias("symbol"), F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("timestamp"))
+    return clean.report(stamps, B.tick_bars(raw).drop("mean"))
+
+
 @query(O.query(O.BARS, "fn AS (SELECT symbol, min(timestamp) AS b FROM bars WHERE bar_idx >= 100 AND bar_idx < (SELECT max(bar_idx) FROM bars x WHERE x.symbol = bars.symbol) GROUP BY 1)", "ls AS (SELECT symbol, max(timestamp) AS a FROM bars WHERE bar_idx < 95 GROUP BY 1)", select="SELECT symbol, strftime(a, '%Y-%m-%d %H:%M:%S') AS last_seen, strftime(b, '%Y-%m-%d %H:%M:%S') AS first_new, (epoch(b) - epoch(a))::BIGINT AS seconds FROM fn JOIN ls USING (symbol) WHERE epoch(b) - epoch(a) > 3600"))
 def live_gaps(spark, sf):
     df = bars(spark, sf)

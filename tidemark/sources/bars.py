@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
+import sys
+from collections.abc import Callable
+from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 #: Columns that a bar has (others may follow).
 PRICES = ("open", "high", "low", "close", "volume")
@@ -25,23 +30,36 @@ def validate(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_bars(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """Bars in parquet; ``since`` reaches the scan as a filter."""
-    df = validate(spark.read.parquet(path))
-    return df.where(F.col("timestamp") >= F.lit(since).cast("timestamp_ntz")) if since else df
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, by the file system it belongs to; what goes wrong in looking is an error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def read_bars(spark: SparkSession, path: str, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """Bars in parquet; ``since`` reaches the scan as a filter; ``limit``: the first bars of each symbol from there on."""
+    return first_bars(validate(spark.read.parquet(path)), since, limit)
+
+
+def first_bars(df: DataFrame, since: str | None = None, limit: int | None = None) -> DataFrame:
+    if since is not None:
+        df = df.where(F.col("timestamp") >= F.lit(str(since)).cast(df.schema["timestamp"].dataType))
+    if limit is None:
+        return df
+    keys = ["symbol"] if "symbol" in df.columns else []
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp"))).where(F.col("_n") <= limit).drop("_n")
 
 
 def cache_name(exchange: str, symbol: str, timeframe: str, limit: int) -> str:
     return f"{exchange}_{symbol.replace('/', '-')}_{timeframe}_{limit}.parquet"
 
 
-def read_through(spark: SparkSession, fetch, folder: str, name: str, since: str | None = None) -> DataFrame:
+def read_through(spark: SparkSession, fetch: Callable[[], DataFrame], folder: str, name: str, since: str | None = None) -> DataFrame:
     """Bars from the cache, or from ``fetch()`` and then into it; with ``since`` the cache is left alone."""
     if since:
         return validate(fetch())
     path = f"{folder}/{name}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, path):
         validate(fetch()).write.mode("overwrite").parquet(path)
     return validate(spark.read.parquet(path))
 
@@ -109,13 +127,19 @@ def append_jsonl(path: str, record: dict) -> None:
         log.write(json.dumps(record) + "\n")
 
 
-#: The log's two kinds of line in one schema.
-LOG = "type string, polled_at string, bar_timestamp string, strategy_name string, close double, position double, is_trade boolean, equity double, cash double, units double, fee_drag double, slippage_drag double, symbol string, timeframe string, exchange_id string, strategy_registry_name string, strategy_params string, initial_capital double, fee double, slippage_bps double, started_at string"
+# The fields of the log's two kinds of line.
+LOG = """type string, polled_at string, bar_timestamp string, strategy_name string, close double, position double, is_trade boolean,
+equity double, cash double, units double, fee_drag double, slippage_drag double, symbol string, timeframe string, exchange_id string,
+strategy_registry_name string, strategy_params string, initial_capital double, fee double, slippage_bps double, started_at string"""
 
 
 def read_log(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """The first session header and all decisions in order of their bars; blank lines are skipped, no header is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.from_json("value", LOG).alias("r")).select("line", "r.*")
+    """The first session header and all decisions in order of their bars; blank lines are skipped; no header, or a line that is no JSON, is an error."""
+    text = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.from_json("value", LOG).alias("r"), "value")
+    broken = text.where(F.col("r").isNull() | F.col("r.type").isNull()).orderBy("line").limit(1).collect()
+    if broken:
+        raise ValueError(f"not a line of a log: {broken[0]['value'][:100]}")
+    lines = text.select("line", "r.*")
     header = lines.where("type = 'session_start'").orderBy("line").limit(1).collect()
     if not header:
         raise ValueError("the log has no session_start line")
@@ -124,6 +148,50 @@ def read_log(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return found, lines.where("type = 'decision'").withColumn("timestamp", F.to_timestamp("bar_timestamp")).drop("line").orderBy("timestamp")
 
 
+def candles(spark: SparkSession, rows: list[list], symbol: str, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """Bars from an exchange's candles: [milliseconds since 1970, open, high, low, close, volume]."""
+    plain = [(symbol, int(r[0]), *(None if x is None else float(x) for x in r[1:6])) for r in rows]
+    df = spark.createDataFrame(plain, "symbol string, ms long, " + ", ".join(f"{c} double" for c in PRICES))
+    at = F.timestamp_millis("ms").cast("timestamp_ntz")  # in the session's zone, which is UTC
+    return validate(first_bars(df.select("symbol", at.alias("timestamp"), *PRICES), since, limit))
+
+
+class ExchangeBars(DataSource):
+    """Format ``exchange_bars``: candles of an exchange, through the ccxt package where it is installed, or from recorded ones.
+
+    Options: symbol, timeframe, limit, since (milliseconds), exchange; ``path``: a JSON file with a list of candles instead.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "exchange_bars"
+
+    def schema(self) -> str:
+        return "symbol string, timestamp timestamp_ntz, " + ", ".join(f"{c} double" for c in PRICES)
+
+    def reader(self, schema):
+        return _CandleReader(dict(self.options))
+
+
+class _CandleReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def read(self, partition):
+        symbol, since = self.options.get("symbol", "BTC/USDT"), self.options.get("since")
+        limit = int(self.options.get("limit", 730))
+        if path := self.options.get("path"):
+            with open(path) as f:
+                rows = [r for r in json.load(f) if since is None or r[0] >= int(since)][:limit]
+        else:
+            import ccxt
+
+            exchange = getattr(ccxt, self.options.get("exchange", "binance"))()
+            rows = exchange.fetch_ohlcv(symbol, timeframe=self.options.get("timeframe", "1d"), since=None if since is None else int(since), limit=limit)
+        for ms, *prices in rows:
+            yield (symbol, datetime(1970, 1, 1) + timedelta(milliseconds=int(ms)), *map(float, prices[:5]))
+
+
 def file_name(label: str, suffix: str = "_trades.csv") -> str:
     return re.sub(r"[^A-Za-z0-9]+", "_", label).strip("_") + suffix
 
@@ -132,6 +200,39 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_trade_logs(trades: DataFrame, runs: list[str], folder: str) -> list[str]:
+    """A CSV folder of closed trades for each strategy; one without trades has the header alone."""
+    paths = [f"{folder}/{file_name(name)}" for name in runs]
+    for name, path in zip(runs, paths, strict=True):
+        mine = trades.where(F.col("strategy") == name)
+        write_csv(mine.coalesce(1).orderBy("symbol", "trade_id") if "trade_id" in trades.columns else mine.coalesce(1), path)
+    return paths
+
+
+class Tee:
+    """What is printed goes to several files."""
+
+    def __init__(self, *files):
+        self.files = files
+
+    def write(self, text: str) -> int:
+        for f in self.files:
+            f.write(text)
+        return len(text)
+
+    def flush(self) -> None:
+        for f in self.files:
+            f.flush()
+
+
+@contextlib.contextmanager
+def printed_to(path: str):
+    """Copies all that is printed inside to a file."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w") as f, contextlib.redirect_stdout(Tee(sys.stdout, f)):
+        yield
+
+
 def text_table(columns: list[str], rows: list, title: str | None = None) -> str:
     """Aligned columns; floats to four places."""
     cells = [[f"{x:.4f}" if isinstance(x, float) else str(x) for x in row] for row in rows]
