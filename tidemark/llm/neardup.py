@@ -57,10 +57,11 @@ def shingles(data: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (the set's own 128-bit digest), packed signature, band keys; a narrow map."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_a long, set_b long, sig array<long>, keys array<long>"
+    """doc_id, text_hash, n_shingles, set_a and set_b (the set's own 128-bit digest), packed signature, band keys; a narrow map."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, set_a long, set_b long, sig array<long>, keys array<long>"
     bands = MINIMA // BAND
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begin = C.flat(batch.column("text"))
@@ -88,9 +89,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 for k in range(16):
                     packed |= nibble[:, k] << np.uint64(4 * k)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(x), dtype=np.int32)), pa.array(np.ascontiguousarray(x.T).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, rows), pa.array(count), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(packed), lists(keys)], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "keys"])
+                named = [batch.column(c).slice(a, rows) for c in ("doc_id", "text_hash")]
+                found = [pa.array(count), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(packed), lists(keys)]
+                yield pa.RecordBatch.from_arrays([*named, *found], names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def corrected(same):
@@ -139,6 +142,7 @@ def _linked(left: pa.Array, right: pa.Array, n: int, percent: int) -> np.ndarray
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are alike enough; texts: (id, text)."""
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = pa.array(_linked(batch.column("a"), batch.column("b"), n, percent))
@@ -248,26 +252,30 @@ def per_salt(counted: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose sets of n-word shingles are ``percent`` alike.
 
-    1. A map gives every document its b-bit MinHash signature and band keys; equal sets become one class.
+    Two more columns name rows: text_hash, and ``stays``, true for one (doc_id, text) of each component.
+
+    1. A map gives every document its b-bit MinHash signature and band keys; equal sets become one class, named by the
+       hash of a text, so doc_ids may be of any type, repeated or null.
     2. In a bucket (equal band key) every class is paired with one centre that a hash picks anew for
        each band, so pairs grow with the members, not their square.  Each class's likest centre by the
        collision-corrected estimate is confirmed on whole sets; links give first components.
     3. Centres not yet confirmed that estimates allow and that would join two components are confirmed too.
-    4. In buckets that still hold several components, blocks of ``members`` classes and pairs of blocks
-       test every remaining pair by signature; where one may be alike enough, texts follow, and exact
-       links that join components come out, fewer than the block has members.
+    4. In buckets that still hold several components, blocks of ``members`` classes test every remaining pair by signature:
+       the classes outside the bucket's largest component meet each other and that component, whose own classes never
+       meet.  Where a pair may be alike enough, texts follow, and exact links that join components come out, fewer than the block has members.
     So no pair that shares a bucket is passed over unless its estimate is SLACK standard errors short.
 
     Null text or no words: empty set, linked with nothing, its own component.  Null doc_id: takes the
-    component of its set's class (null where it has none), not kept.  Rows with equal doc_id count as
-    one document's texts.  Empty table: empty result.
+    component of its set's class (null where no member has an id), not kept.  Rows with equal doc_id and different texts are rows of
+    their own.  Empty table: empty result.
     """
     spark = docs.sparkSession
     least = least_estimate(percent)
     signed = C.written(signatures(docs, n), "signatures")
-    # classes of equal sets
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    classes = C.written(classes, "classes")
+    # classes of equal sets; the least row of a class is its first by doc_id (null last) and text
+    row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(row).alias("row"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = C.written(classes.withColumn("id", F.col("row.text_hash")), "classes")
     # buckets of two classes or more, each with a centre
     salts = F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
     entries = classes.select("id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("keys").alias("band", "key"))
@@ -277,42 +285,58 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     sigs = classes.select("id", "sig")
     stars = stars.join(sigs, "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
     stars = C.written(stars.select("id", "centre", estimate(F.col("sig"), F.col("centre_sig")).alias("near")).where(F.col("near") >= least), "stars")
-    # texts of the classes in question, once
-    ask = crowded.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ask, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+    # texts of the classes in question, once: that of a class's first row
+    ask = crowded.select("id").distinct().join(classes.select("id", F.col("row.doc_id").alias("_doc")), "id")
+    mine = docs.select("doc_id", "text", F.xxhash64("text").alias("id"))
+    texts = mine.join(ask, (mine["id"] == ask["id"]) & mine["doc_id"].eqNullSafe(ask["_doc"])).groupBy(mine["id"].alias("id")).agg(F.min("text").alias("text"))
     texts = C.written(texts, "texts")
-    best = stars.groupBy("id").agg(F.max(F.struct("near", (-F.col("centre")).alias("c"))).alias("b")).select(F.col("id").alias("u"), (-F.col("b.c")).alias("v"))
+    best = stars.groupBy("id").agg(F.max(F.struct("near", F.xxhash64("centre").alias("h"), "centre")).alias("b")).select(F.col("id").alias("u"), F.col("b.centre").alias("v"))
     links = C.written(confirmed(best, texts, n, percent), "links")
     label = C.written(components(links), "labels")
     # centres not confirmed yet, between components
     def labelled(rows: DataFrame, by: str, name: str) -> DataFrame:
         return rows.join(label.select(F.col("id").alias(by), F.col("component").alias("_c")), by, "left").withColumn(name, F.coalesce("_c", by)).drop("_c")
 
+    def relabelled(more: DataFrame) -> DataFrame:
+        if more.isEmpty():
+            return label
+        new = C.written(joined(label, more), "labels")
+        C.forget(spark, label)
+        return new
+
     rest = stars.select(F.col("id").alias("u"), F.col("centre").alias("v")).join(best, ["u", "v"], "left_anti")
     rest = labelled(labelled(rest, "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v")
     more = C.written(confirmed(rest, texts, n, percent), "links")
-    if not more.isEmpty():
-        label = C.written(joined(label, more), "labels")
+    label = relabelled(more)
     # buckets of three or more that still hold several components
     large = labelled(crowded.where("m > 2"), "id", "comp")
-    open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), salts).where("lo <> hi").select("key", "salts")
+    sizes = large.groupBy("key", "comp").agg(F.count("*").alias("size"), salts)
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("all"), F.expr("bit_or(salts)").alias("salts")).where("comps > 1")
+    open_ = open_.select("key", F.col("top.comp").alias("top"), "all", F.col("top.size").alias("top_size"), "salts")
     large = large.join(per_salt(open_), ["key", "salt"]).join(classes.select("id", "sig", "keys"), "id")
-    blocks = F.ceil(F.col("m") / members).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    # blocks 0, 1, ...: of the classes outside the largest component; then of that component
+    outside, inside = (F.greatest(F.ceil(x / members), F.lit(1)).cast("int") for x in (F.col("all") - F.col("top_size"), F.col("top_size")))
+    whole, in_top = F.col("all") <= members, F.col("comp") == F.col("top")
+    own = F.when(whole, 0).when(in_top, outside + F.pmod(F.xxhash64("id"), inside)).otherwise(F.pmod(F.xxhash64("id"), outside)).cast("int")
+    other = F.when(whole, F.array(F.lit(0))).when(in_top, F.sequence(F.lit(0), outside - 1)).otherwise(F.sequence(F.lit(0), outside + inside - 1))
     tasks = large.withColumn("own", own).withColumn("other", F.explode(other))
-    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "band", "id", "comp", "sig", "keys")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), side.alias("side"), "band", "id", "comp", "sig", "keys")
     kind = "task long, side int, band int, id long, comp long, sig array<long>, keys array<long>"
     active = C.written(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_active(least), kind), "active")
     last = active.join(texts, "id").repartition("task").sortWithinPartitions("task").select("task", "side", "band", "id", "comp", "sig", "keys", "text").mapInArrow(_resolve(least, n, percent), "u long, v long")
     last = C.written(last, "links")
-    if not last.isEmpty():
-        label = C.written(joined(label, last), "labels")
-    label = labelled(classes.select("id", "set_a", "set_b"), "id", "component").select("set_a", "set_b", "component")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(label, ["set_a", "set_b"], "left")
-    component = F.coalesce("component", F.col("doc_id").cast("long"))
-    return out.select("doc_id", F.col("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    label = relabelled(last)
+    # the first row of each component
+    label = labelled(classes.select("id", "set_a", "set_b", "n_shingles", "row"), "id", "component")
+    first = label.groupBy("component").agg(F.min("row").alias("first"))
+    found = C.written(label.join(first, "component").select("set_a", "set_b", "n_shingles", "first"), "components")
+    C.forget(spark, classes, crowded, stars, texts, links, more, active, last)
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    stays = (F.col("n_shingles") == 0) | F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash", stays.alias("stays"))
 
 
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85).select("doc_id", "n_shingles", "component_id", "kept")
