@@ -15,7 +15,7 @@ from tidemark.llm import common as C
 from tidemark.llm import tokens as T
 
 #: Tokens of a sequence; tokens of a bin of the histogram that patterns are fitted to; documents of a pattern at most; for each fit, tokens that its sequences may leave free.
-CAPACITY, GRAIN, PARTS, SLACKS = 2048, 16, 3, (0, 1, 3, 8)
+CAPACITY, GRAIN, PARTS, SLACKS = 2048, 16, 3, (0, 1, 3, 8, 24, 64)
 Kinds = list[tuple[tuple[int, ...], int]]
 
 
@@ -33,22 +33,21 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, tolerance: float = 1
     """Non-negative least squares: how often each pattern repeats, so that their lengths add to the histogram.
 
     An active-set method: its solutions have no more patterns than the histogram has bins, so repeats are large and
-    little is lost when they are rounded.  histogram[i] counts documents of i bins; [0] is ignored.
+    little is lost when they are rounded.  histogram[i] counts documents of i bins; [0] is ignored.  A bin weighs as
+    its documents are long, so that what the fit leaves over is short and finds room.
     """
     width, target = len(histogram), histogram.astype(float)
-    target[0] = 0
+    weight = np.arange(width) / max(width - 1, 1)
+    target *= weight
     x, used = np.zeros(len(patterns)), np.zeros(0, np.int64)
     columns = np.zeros((width, 0))
     scale = max(1.0, np.abs(target).max())
 
     def column(i: int) -> np.ndarray:
-        out = np.bincount(patterns[i], minlength=width).astype(float)
-        out[0] = 0
-        return out
+        return np.bincount(patterns[i], minlength=width) * weight
 
     for _ in range(6 * width):
-        left = target - columns @ x[used]
-        left[0] = 0
+        left = (target - columns @ x[used]) * weight
         gain = left[patterns].sum(1)
         gain[used] = -np.inf
         best = int(gain.argmax())
