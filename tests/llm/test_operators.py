@@ -105,21 +105,36 @@ def test_packing(docs, none):
     assert packing.pattern_pack(none).count() == 0
 
 
-def test_plan(monkeypatch):
+def test_plan():
+    """Patterns place the bulk, and the sequences are hardly more than with best fit alone, or than the tokens need."""
     r = random.Random(1)
-    for _ in range(5):
-        counts = {r.randrange(1, 2049): r.randrange(1, 400) for _ in range(300)}
-        kinds = packing.plan_sequences(counts)
+    dense = collections.Counter(min(2048, max(1, int(r.lognormvariate(6.4, 0.8)))) for _ in range(20_000))
+    for counts in (dense, *({r.randrange(1, 2049): r.randrange(1, 400) for _ in range(300)} for _ in range(4))):
+        kinds, placed = packing.pattern_plan(counts)
         back = collections.Counter()
         for kind, n in kinds:
             assert sum(kind) <= 2048
             for k in kind:
                 back[k] += n
-        assert back == counts
-        with monkeypatch.context() as m:  # best fit alone
-            m.setattr(packing, "fit_counts", lambda patterns, histogram: np.zeros(len(patterns)))
-            alone = sum(n for _, n in packing.plan_sequences(counts))
+        assert back == collections.Counter(counts)
+        alone = sum(n for _, n in packing.plan_sequences(counts, slacks=()))
         assert sum(n for _, n in kinds) <= 1.02 * alone + 2
+        assert placed >= 0.6 * sum(v for k, v in counts.items() if k < 2048)
+    kinds, placed = packing.pattern_plan(dense)
+    assert sum(n for _, n in kinds) <= 1.003 * sum(k * v for k, v in dense.items()) / 2048 + 1 and placed >= 0.7 * sum(dense.values())
+    assert packing.pattern_plan({}) == ([], 0) and packing.pattern_plan({2048: 3})[0] == [((2048,), 3)]
+
+
+def test_fit_counts():
+    """The fit of a histogram that patterns can make leaves nothing, uses no more patterns than bins, and is never below zero."""
+    patterns = packing.length_patterns(12)
+    r = np.random.default_rng(5)
+    for _ in range(5):
+        made = np.bincount(patterns[r.integers(0, len(patterns), 40)].ravel(), minlength=13)
+        made[0] = 0
+        x = packing.fit_counts(patterns, made)
+        again = np.bincount(patterns.ravel(), np.repeat(x, 3), 13)
+        assert np.allclose(again[1:], made[1:], atol=1e-3) and (x >= 0).all() and (x > 0).sum() <= 13
 
 
 def test_codes(spark, docs, none):
@@ -136,6 +151,16 @@ def test_codes(spark, docs, none):
     ids = np.random.default_rng(1).integers(0, 1 << 20, 5000).astype(np.uint32)
     block = codes.Block(codes.encode_block(ids, np.array([0, 10, 5000])))
     assert (block.all() == ids).all() and [block.get(k) for k in range(0, 5000, 7)] == ids[::7].tolist() and block.document(0).tolist() == ids[:10].tolist()
+    assert all((block.span(a, b) == ids[a:b]).all() for a, b in ((0, 0), (3, 3), (7, 1300), (511, 514), (4999, 5000)))
+    whole, ids, at = block.document(1), np.zeros(0, np.uint32), 0
+    path = C.new_path(spark, "codes")
+    codes.write_codes(docs.repartition(5), path, block_ids=50)
+    table = spark.read.parquet(path)
+    starts = {(r.part, r.place): r.before for r in codes.block_starts(table).collect()}
+    for r in table.select("part", "place", "n_ids").orderBy("part", "place").collect():
+        assert starts[r.part, r.place] == at
+        at += r.n_ids
+    assert len(starts) > 10 and len(whole) == 4990
 
 
 def test_sharding(docs, none):
@@ -150,6 +175,22 @@ def test_sharding(docs, none):
     assert sharding.jump_shards(none).count() == 0
 
 
+def test_jump_by_hand(docs):
+    """Every shard against the jump loop in plain Python."""
+    draw = lambda key, i: (int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:8], 16) + 1) / (1 << 32)
+
+    def shard(key, n):
+        at, i = 0, 1
+        while (land := int((at + 1) / draw(key, i))) < n:
+            at, i = land, i + 1
+        return at
+
+    for r in sharding.jump_shards(docs).collect():
+        assert (r.shard, r.grown_shard) == (shard(r.doc_id, 8), shard(r.doc_id, 9))
+    few, many = ({(r.doc_id, r.slot, r.shard) for r in sharding.jump_shards(docs, rows_a_group=n).collect()} for n in (1, 20_000))
+    assert few == many
+
+
 def test_jump_balance(spark):
     df = spark.range(20000).select(*[sharding.jump_hash(F.col("id"), n).alias(f"n{n}") for n in (1, 5, 6)])
     assert df.where("n1 <> 0").count() == 0 and df.where("n6 <> n5 and n6 <> 5").count() == 0
@@ -168,8 +209,18 @@ def test_merkle(docs, none, spark):
     assert len({(a, got[i].fingerprint) for i, a in enumerate(t)}) == len(set(t)) == len({got[i].fingerprint for i in range(len(t))})
     assert merkle.merkle_fingerprints(none).count() == 0
     a, b = "p one.\n\nsame here.\n\nlast", "p one.\n\nsame here.\n\nother"
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(*[merkle.fingerprint(F.col(c), merkle.tree(F.col(c))).alias(c) for c in "ab"])
-    assert df.select(merkle.differing_sections(F.col("a"), F.col("b")).alias("d")).first().d == [2]
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(*[merkle.sections(merkle.tree(F.col(c))).alias(c) for c in "ab"], F.col("a").alias("x"), F.col("b").alias("y"))
+    df = df.select("a", "b", merkle.fingerprint(F.col("x"), F.col("a")).alias("fa"), merkle.fingerprint(F.col("y"), F.col("b")).alias("fb"))
+    got = df.select(merkle.differing(F.col("a"), F.col("b")).alias("d"), merkle.differing_sections(F.col("fa"), F.col("fb")).alias("e"), F.size("a").alias("n")).first()
+    assert got.d == got.e == [got.n - 1]
+
+
+def test_merkle_names(docs, spark):
+    """doc_ids of any type: the same texts under names that order alike have the same fingerprints."""
+    plain = rows(merkle.merkle_fingerprints(docs))
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+    for r in merkle.merkle_fingerprints(named).collect():
+        assert r[1:] == plain[int(r.doc_id[1:])][1:]
 
 
 def test_language(docs, none, spark):
@@ -197,6 +248,32 @@ def test_language(docs, none, spark):
     assert language.identify_language(none, profiles).count() == 0
 
 
+def test_language_by_hand(docs, spark):
+    """Every prediction and score against out-of-place distances in plain Python."""
+    import unicodedata
+
+    def profile(t):
+        low = lambda c: (c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " "
+        words, grams = "".join(map(low, t or "")).split(" "), collections.Counter()
+        for w in words:
+            if w:
+                for n in (1, 2, 3):
+                    padded = w if n == 1 else f" {w} "
+                    grams.update(padded[j : j + n] for j in range(len(padded) - n + 1) if padded[j : j + n].strip())
+        points = lambda c: 0 if c == " " else min(ord(c), 0xFFFE)
+        code = lambda g: (sum(points(c) << 16 * (len(g) - 1 - j) for j, c in enumerate(g)) << 2) | len(g)
+        return [code(g) for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+
+    profiles = {"b": profile(" ".join(texts()[k] for k in range(30))), "a": profile(" ".join(texts()[k] for k in range(30, 60)))[:200]}
+    got = rows(language.identify_language(docs, profiles))
+    for i, t in enumerate(texts()):
+        mine = profile(t)
+        far = {k: sum(abs(p.index(g) - r) if g in p else 300 for r, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want = (best, 1 - far[best] / (300 * len(mine))) if mine else ("und", 0.0)
+        assert (got[i].lang_pred, got[i].score) == (want[0], pytest.approx(want[1])), i
+
+
 def test_extraction(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/x'>menu</a></nav><div class=\"ad\">buy</div><article><h1>Head &amp; line</h1><p><b>One\n two.<br><p>Three <i>four</i>.</p><aside>no</aside><script>var t='</p>';</script></article><div id='comments'>talk</div><footer>&copy; x</footer>"
     shared = "shared boiler plate text that every page of the host shows at its end today"
@@ -220,23 +297,86 @@ def test_extraction_over_groups(spark):
     html |= {k: page("copy") for k in range(400, 406)}
     df = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in html.items()], "page_id long, url string, html string")
     want = {k: line(f"w{k}") + (f"\n{rare}" if k in (1, 2) else "") for k in range(400)} | {k: line("copy") for k in range(400, 406)}
-    for group in (10, 100, 1000):
-        assert {r.page_id: r.text for r in extraction.extract_main_text(df, group).collect()} == want, group
+    for size in (2000, 20_000, 1 << 23):
+        assert {r.page_id: r.text for r in extraction.extract_main_text(df, size).collect()} == want, size
+
+
+def brute_extraction(pages):
+    """The same rules with sets of token windows."""
+    parsed = {k: (re.sub(r"^\w+://([^/?#]*).*|.*", r"\1", u or "").lower(), extraction.parse_blocks(h)) for k, (u, h) in pages.items()}
+    may = {k: [j for j, (p, _) in enumerate(b) if (p & 3 == 2 if any(q & 3 == 2 for q, _ in b) else p == 1)] for k, (_, b) in parsed.items()}
+    article = {k: "\n".join(b[j][1] for j in may[k]) for k, (_, b) in parsed.items()}
+    seen, stream = collections.defaultdict(set), {}
+    for k, (host, b) in parsed.items():
+        stream[k] = [(j, w) for j, (_, t) in enumerate(b) for w in WORD.findall(t)]
+        for a in range(len(stream[k]) - 7):
+            seen[host, tuple(w for _, w in stream[k][a : a + 8])].add(article[k])
+    out = {}
+    for k, (host, b) in parsed.items():
+        share = {}
+        for least in (2, 3):
+            hit = set()
+            for a in range(len(stream[k]) - 7):
+                if len(seen[host, tuple(w for _, w in stream[k][a : a + 8])]) >= least:
+                    hit.update(range(a, a + 8))
+            share[least] = collections.Counter(stream[k][a][0] for a in hit)
+        size = collections.Counter(j for j, _ in stream[k])
+        stay = [j for j in may[k] if share[2 if b[j][0] & 4 else 3][j] <= 0.6 * size[j]]
+        main = any(p & 3 == 2 for p, _ in b)
+        if main and sum(share[3][j] for j in may[k]) > 0.5 * sum(size[j] for j in may[k]) or not stay:
+            stay = may[k]
+        out[k] = "\n".join(b[j][1] for j in stay)
+    return out
+
+
+def test_extraction_by_hand(spark):
+    """Articles with notices, copies, near copies, class names, on hosts of any size; 4 pages of many behave as 4 of few."""
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(n))
+    notices, pages = [say(11) for _ in range(4)], {}
+    for k in range(160):
+        body = [f"<h1>{say(4)}</h1>", *(f"<p>{say(r.randrange(3, 40))}</p>" for _ in range(4))]
+        if k % 40 < 4:
+            body.insert(r.randrange(1, 5), f"<p class='notice'>{notices[k % 2]}</p>")
+        if k in (5, 6):
+            body.append(f"<div class='comments'>{notices[2]}</div><p class='notice'>{say(9)}</p>")
+        whole = "".join(body)
+        html = f"<body><nav>{say(5)}</nav><article>{whole}</article><p>{notices[3]}</p></body>" if k % 3 else f"<body><div>{whole}</div><p>{notices[3]}</p></body>"
+        pages[k] = (f"http://{'big' if k >= 40 else 'small'}.example/{k}", html)
+    for k in range(160, 166):  # near copies of one article
+        pages[k] = ("http://big.example/x", pages[41][1].replace("</h1>", f" {k}</h1>"))
+    pages |= {170: (None, None), 171: ("http://big.example/y", ""), 172: ("http://big.example/z", "<p>" + say(20_000))}
+    df = spark.createDataFrame([(k, u, h, 1, "x", 2) for k, (u, h) in pages.items()], "page_id long, url string, html string, slot int, text string, part int")
+    want = brute_extraction(pages)
+    for size in ((3000, 1024), (1 << 23, 1024), (1 << 23, 20)):
+        assert {x.page_id: x.text for x in extraction.extract_main_text(df, *size).collect()} == want, size
+    assert all(notices[k % 2] not in want[k] for k in range(160) if k % 40 < 4 and k != 41)
+    assert all(len(want[k]) > 20 for k in range(160, 166)) and notices[2] not in want[5]
+    plain = {x.page_id: x.text for x in extraction.extract_main_text(df, shared=10**6, hinted=10**6).collect()}
+    assert plain != want
+
+
+def test_extraction_class_names(spark):
+    """Class names inside an article drop nothing by themselves."""
+    html = "<article><div class='article-header'><h1>Title</h1></div><section class='related-work'><p>Earlier work</p></section><p class='notice'>Mind this</p></article>"
+    got = extraction.extract_main_text(spark.createDataFrame([(1, "http://a/1", html)], "page_id long, url string, html string")).first()
+    assert got.text == "Title\nEarlier work\nMind this"
 
 
 def test_suffix_array():
     r = np.random.default_rng(2)
     token, page = r.integers(0, 3, 400), np.repeat(np.arange(10), 40)
-    got = extraction.covered(token, page, 4, 3)
+    got = extraction.shared_pages(token, page, 4)
     seen = collections.defaultdict(set)
     spots = [k for k in range(397) if page[k] == page[k + 3]]
     for k in spots:
         seen[tuple(token[k : k + 4])].add(page[k])
+    assert all(got[k] == len(seen[tuple(token[k : k + 4])]) for k in spots)
     want = np.zeros(400, bool)
     for k in spots:
         if len(seen[tuple(token[k : k + 4])]) >= 3:
             want[k : k + 4] = True
-    assert (got == want).all()
+    assert (extraction.spread(got >= 3, 4) == want).all()
 
 
 def brute_components(n, percent, ts):
@@ -268,115 +408,29 @@ def test_near_duplicates(docs, none, n, percent, members):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_suffix_tree(docs, none):
-    from tidemark.llm.language import held_out
+def test_near_duplicates_names(docs, spark):
+    """String ids give the same components; repeated ids keep the links of each of their texts; null ids join their class."""
+    plain = rows(neardup.near_duplicates(docs, 3, 85))
+    for r in neardup.near_duplicates(docs.withColumn("doc_id", F.format_string("n%05d", "doc_id")), 3, 85).collect():
+        assert (r.n_shingles, int(r.component_id[1:]), r.kept) == plain[int(r.doc_id[1:])][1:4]
+    base, other = texts()[2], texts()[3]
+    data = [(1, base), (5, base + " x"), (5, other), (9, other), (None, base), (None, "alone in its own words here")]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, False), (0, 1, False), (1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)]
+    assert sorted(r.doc_id or 0 for r in got if r.stays) == [0, 1, 5]
 
-    got, ts = rows(suffixtree.suffix_tree_scores(docs, ~held_out(docs, 7, 2), block_bytes=4000)), texts()
-    out = {i for i in range(len(ts)) if zlib.crc32(str(i).encode()) % 7 == 2}
-    tokens_ = {i: [*WORD.findall((t or "").translate(LOW)), "\n"] for i, t in enumerate(ts)}
-    c = collections.Counter(w for i, x in tokens_.items() if i not in out for w in x)
-    total, kinds = sum(c.values()), len(c)
-    for i, x in tokens_.items():
-        base = sum(np.log10((c[w] + 1) / (total + kinds + 1)) for w in x)
-        g = got[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (i in out, len(x), sum(c[w] > 0 for w in x), total)
-        assert g.base_score == pytest.approx(base) and g.score < 0
-    assert suffixtree.suffix_tree_scores(none, ~held_out(none, 7, 2)).count() == 0
-
-
-def test_suffix_tree_keeps_rare_pairs(spark):
-    """Pairs count from two occurrences on, however large the corpus; before, a pair needed 8 of four million tokens."""
-    data = [(k, "aa bb " * 500_000) for k in range(4)] + [(k, "zig zag") for k in range(4, 8)] + [(8, "zig zag"), (9, "zag zig")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    got = rows(suffixtree.suffix_tree_scores(df, F.col("doc_id") < 8))
-    assert got[8].score > -1 and got[9].score < -8
-
-
-def test_suffix_tree_keeps_rare_strings(spark):
-    """Strings count at any share: 'qz' is one of five million symbols here, and its context still foretells it."""
-    code = lambda *b: int.from_bytes(bytes(b), "little")
-    common = [(1, code(97, 97, 97, 97, 97), 5_000_000)]
-    rare = [(1, code(122, 113, 97, 97, 97), 6), (1, code(113, 97, 97, 97, 97), 6)]
-    tree = suffixtree.learn_tree(spark.createDataFrame(common + rare, "kind int, key long, n long"))
-    symbols = np.frombuffer(b"aaaaqz", np.uint8)
-    assert tree.log10(symbols, np.arange(6) == 5)[5] > -0.5
-
-
-def test_word_states_as_tables(docs, spark):
-    """The test of states over tables against that over arrays, and what a block is told."""
-    tokens_ = [[*WORD.findall((t or "").translate(LOW)), "\n"] for t in texts()]
-    c = collections.Counter(w for x in tokens_ for w in x)
-    some = sorted(w for w in c if c[w] > 1)
-    place = {w: k for k, w in enumerate(some)}
-    pairs = collections.Counter(place[v] << 32 | place[w] for x in tokens_ for v, w in zip(["\n", *x], x) if v in place and w in place)
-    pairs = {p: m for p, m in pairs.items() if m > 1}
-    keys, n, p, m = np.arange(len(some), dtype=np.uint64), np.array([c[w] for w in some]), np.array([*pairs]), np.array([*pairs.values()])
-    want = suffixtree.WordStates(keys, n, p, m, sum(c.values()))
-    words = spark.createDataFrame([(k, int(n[k]), k) for k in range(len(some))], "key long, n long, number long")
-    got = {r.number: r.rest for r in suffixtree.word_states(words, spark.createDataFrame([(a, b) for a, b in pairs.items()], "pair long, m long"), sum(c.values())).collect()}
-    assert got == pytest.approx({k: want.rest[k] for k in range(len(some)) if want.rest[k]}) and len(got) > 20
-    shuffled = np.random.default_rng(1).permutation(len(some))  # a block's words are not in the order of their numbers
-    told = suffixtree.WordStates.told(keys, n[shuffled], shuffled, np.array([got.get(k, np.nan) for k in shuffled]), p, m)
-    before = np.random.default_rng(2).integers(0, len(some), 500)
-    back = np.argsort(shuffled)
-    want.keys = told.keys = keys[:0] if not len(keys) else keys + np.uint64(1)  # no end among them
-    tokens__ = np.full(500, -9.0)
-    assert np.allclose(told.log(tokens__, back[before]), want.log(tokens__, before))
-
-
-def test_suffix_tree_sums_to_one():
-    text = np.frombuffer(b"the cat sat on the mat. the dog sat on the log. " * 40, np.uint8)
-    symbols, real, *_ = suffixtree.stream(text, np.array([0, len(text)]), 4)
-    code = suffixtree.grams(symbols, real, 4)
-    counts = [np.unique(code & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(5)]
-    tree = suffixtree.SuffixTree(counts)
-    assert np.allclose((10.0 ** tree.log.astype(float)).sum(1), 1, atol=1e-4)
-    assert len(tree.contexts[3]) > 0 and tree.log10(symbols, real).sum() / real.sum() > -0.5
-
-
-def test_word_pairs(docs, none):
-    tokens_ = [[*WORD.findall((t or "").translate(LOW)), "\n"] for t in texts()]
-    key = {w: 0 if w == "\n" else int(C.hash_runs(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for x in tokens_ for w in x}
-    c = collections.Counter(w for x in tokens_ for w in x)
-    some = sorted((w for w in c if c[w] > 1), key=key.get)
-    keys = np.array([key[w] for w in some], np.uint64)
-    want = collections.Counter(p for x in tokens_ for p in zip(["\n", *x], x) if min(c[p[0]], c[p[1]]) > 1)
-    told = docs.sparkSession.sparkContext.broadcast(keys)
-    assert {(some[r["key"] >> 32], some[r["key"] & 0xFFFFFFFF]): r["n"] for r in suffixtree.pair_counts(docs, told, flush=50).collect()} == dict(want)
-    assert suffixtree.pair_counts(none, told).count() == 0
-
-
-def test_word_states_sum_to_one():
-    r = random.Random(1)
-    follows = {w: r.sample(range(1, 60), 4) for w in range(60)}
-    text, c, pairs = [0], collections.Counter(), collections.Counter()
-    while len(text) < 20_000:
-        text.append(0 if r.random() < 0.05 else r.choice(follows[text[-1]]) if text[-1] % 3 else r.randrange(1, 60))
-    text.append(0)
-    c.update(text[1:])
-    pairs.update(zip(text, text[1:]))
-    keys = np.arange(60, dtype=np.uint64)
-    kept = {p: n for p, n in pairs.items() if n > 1}
-    states = suffixtree.WordStates(keys, np.array([c[w] for w in range(60)]), np.array([a << 32 | b for a, b in kept]), np.array([*kept.values()]), len(text) - 1)
-    p0 = np.log([c[w] / (len(text) - 1) for w in range(60)])
-    retained = set()
-    for w in range(60):
-        two = np.array([[w, x] for x in range(60)]).ravel()
-        p = states.log(p0[two], two)[1::2]
-        assert np.exp(p).sum() == pytest.approx(1)
-        if not np.allclose(p, p0):
-            retained.add(w)
-    total, gains = len(text) - 1, {}
-    for w in range(60):
-        after = {x: n for (v, x), n in kept.items() if v == w}
-        rest = 1 - sum(n - 0.75 for n in after.values()) / c[w]
-        gains[w] = sum(n * np.log(((n - 0.75) / c[w] + rest * (c[x] - 0.75) / total) / ((c[x] - 0.75) / total)) for x, n in after.items()) + (c[w] - sum(after.values())) * np.log(rest)
-    assert retained == {w for w in gains if gains[w] >= suffixtree.GAIN} and retained >= {w for w in range(60) if w % 3}
-    middle = sorted(gains.values())[30]
-    some = suffixtree.WordStates(keys, np.array([c[w] for w in range(60)]), np.array([a << 32 | b for a, b in kept]), np.array([*kept.values()]), total, middle)
-    assert {w for w in range(60) if some.rest[w]} == {w for w in gains if gains[w] >= middle * (1 - 1e-9)}
-    empty = suffixtree.WordStates(keys[:0], np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 0)
-    assert empty.log(p0, np.full(60, -1)) is p0
+
+def test_near_duplicates_hot_bucket(spark, monkeypatch):
+    """In a bucket of one large component and a few others the members of the large one never meet each other in blocks."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    ts = [" ".join([*base, f"tail{k}"]) for k in range(60)] + [" ".join(base[:40] + [f"z{k}x{j}" for j in range(14)]) for k in range(3)]
+    r.shuffle(ts)
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    want = brute_components(3, 85, ts)
+    for members in (4, 1024):
+        got = rows(neardup.near_duplicates(df, 3, 85, members))
+        assert {i: (g.n_shingles, g.component_id) for i, g in got.items()} == want
 
 
 def test_pipeline(spark, tmp_path, docs):
@@ -409,6 +463,41 @@ def test_pipeline_language_limit(spark):
     assert len(stay) >= 0.99 * n
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Empty table; null ids and repeated rows: one of each group stays."""
+    import corpus_pipeline as P
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
+    base, other = texts()[2], texts()[3]
+    data = [(None, base, "a", None, 1), (None, base, "a", None, 1), (7, other, "a", "s", 1), (7, other, None, "s", 1), (8, other, "b", "s", 1), (9, None, None, None, None)]
+    docs = spark.createDataFrame(data, kind)
+    got = P.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, base), (7, other), (9, "")])
+
+
+def test_memory_of_pieces():
+    """A memory that is full is emptied, and gives the same ids."""
+    learnt = []
+    memory = tokens.Memory(lambda run: learnt.append(run) or [len(run), 7], 400)
+    r = random.Random(2)
+    for _ in range(30):
+        runs = [bytes(r.choices(b"abc", k=r.randrange(1, 5))) for _ in range(20)]
+        data, ends = np.frombuffer(b"".join(runs), np.uint8), np.cumsum([len(x) for x in runs])
+        ids, size = memory.lookup(data, ends - [len(x) for x in runs], ends)
+        assert ids.tolist() == [y for x in runs for y in (len(x), 7)] and size.tolist() == [2] * 20
+    assert len(learnt) > len(set(learnt))
+
+
+def test_small_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (1 << 20), "", None, "y" * (5 << 20)] * 3)], names=["t"])
+    parts = list(C.small([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) < 4
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     """Components, at once and after more edges, against union by hand; loops and repeated edges are there."""
