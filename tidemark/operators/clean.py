@@ -18,7 +18,8 @@ def median_step(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("timestamp")
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
     gaps = df.withColumn("_gap", at - F.lag(at).over(w))
-    return gaps.groupBy("symbol").agg(F.count("*").alias("n"), F.expr("percentile(_gap, 0.5)").cast("long").alias("step_us")).where("n >= 3 and step_us > 0").select("symbol", "step_us")
+    step = F.expr("percentile(_gap, 0.5)").cast("long").alias("step_us")
+    return gaps.groupBy("symbol").agg(F.count("*").alias("n"), step).where("n >= 3 and step_us > 0").select("symbol", "step_us")
 
 
 def fill_gaps(df: DataFrame, max_fill: int = 3) -> DataFrame:

@@ -26,9 +26,15 @@ def drawdown(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 def summary(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """total_return, cagr, annualised_volatility, sharpe, max_drawdown, trade_count of each run."""
     ratio = F.try_divide(F.max_by("equity", "bar_idx"), F.min_by("equity", "bar_idx"))
+    growth = F.pow(ratio, F.try_divide(F.lit(float(YEAR)), F.count("*").cast("double")))
     return drawdown(ledger, keys).groupBy(*keys).agg(
-        (ratio - 1).alias("total_return"), (F.when(ratio >= 0, F.pow(ratio, F.try_divide(F.lit(float(YEAR)), F.count("*").cast("double")))) - 1).alias("cagr"), (F.stddev_samp("strategy_return") * YEAR**0.5).alias("annualised_volatility"),
-        sharpe("strategy_return").alias("sharpe"), F.min("drawdown").alias("max_drawdown"), F.count_if(F.col("turnover") > 0).alias("trade_count"))
+        (ratio - 1).alias("total_return"),
+        (F.when(ratio >= 0, growth) - 1).alias("cagr"),
+        (F.stddev_samp("strategy_return") * YEAR**0.5).alias("annualised_volatility"),
+        sharpe("strategy_return").alias("sharpe"),
+        F.min("drawdown").alias("max_drawdown"),
+        F.count_if(F.col("turnover") > 0).alias("trade_count"),
+    )
 
 
 def correlation(ledger: DataFrame) -> DataFrame:
@@ -40,7 +46,12 @@ def correlation(ledger: DataFrame) -> DataFrame:
 
 
 def cost_impact(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    return ledger.groupBy(*keys).agg((F.product(1 + F.col("gross_return")) - 1).alias("gross"), F.sum("fee_drag").alias("fees"), F.sum("slippage_drag").alias("slippage"), (F.product(1 + F.col("strategy_return")) - 1).alias("net"))
+    return ledger.groupBy(*keys).agg(
+        (F.product(1 + F.col("gross_return")) - 1).alias("gross"),
+        F.sum("fee_drag").alias("fees"),
+        F.sum("slippage_drag").alias("slippage"),
+        (F.product(1 + F.col("strategy_return")) - 1).alias("net"),
+    )
 
 
 def trades(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -57,11 +68,17 @@ def trades(ledger: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     times = [at(enter, "timestamp").alias("entry_time"), at(leave, "_at").alias("exit_time")] if "timestamp" in ledger.columns else []
     # an exit bar belongs to the trade before it; its costs count
     out = df.groupBy(*keys, "trade_id").agg(
-        *times, at(enter, "bar_idx").alias("entry_idx"), at(leave, "_time").alias("exit_idx"), at(enter, "_price").alias("entry_price"), at(leave, "_price").alias("exit_price"), at(leave, "bar_idx").alias("_x"),
-        at(enter, "_equity").alias("_e0"), at(leave, "equity").alias("_e1"), F.sum("fee_drag").alias("fees_paid"), F.sum("slippage_drag").alias("slippage_paid")).where("_x is not null")
+        *times,
+        at(enter, "bar_idx").alias("entry_idx"), at(leave, "_time").alias("exit_idx"), at(leave, "bar_idx").alias("_x"),
+        at(enter, "_price").alias("entry_price"), at(leave, "_price").alias("exit_price"),
+        at(enter, "_equity").alias("_e0"), at(leave, "equity").alias("_e1"),
+        F.sum("fee_drag").alias("fees_paid"), F.sum("slippage_drag").alias("slippage_paid"),
+    ).where("_x is not null")
     pnl = F.col("_e1") - F.col("_e0")
     named = ["entry_time", "exit_time"] if times else []
-    return out.select(*keys, "trade_id", *named, "entry_idx", "exit_idx", "entry_price", "exit_price", (F.col("_x") - F.col("entry_idx")).alias("holding_bars"), pnl.alias("pnl_dollars"), F.try_divide(pnl, "_e0").alias("pnl_pct"), "fees_paid", "slippage_paid")
+    money = [pnl.alias("pnl_dollars"), F.try_divide(pnl, "_e0").alias("pnl_pct"), "fees_paid", "slippage_paid"]
+    bars = (F.col("_x") - F.col("entry_idx")).alias("holding_bars")
+    return out.select(*keys, "trade_id", *named, "entry_idx", "exit_idx", "entry_price", "exit_price", bars, *money)
 
 
 def trade_summary(found: DataFrame, runs: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -69,8 +86,18 @@ def trade_summary(found: DataFrame, runs: DataFrame, keys: Sequence[str] = RUN)
     p = F.col("pnl_dollars")
     won, lost = F.sum(F.when(p > 0, p)), F.sum(F.when(p <= 0, -p))
     factor = F.when(lost > 0, F.coalesce(won, F.lit(0.0)) / lost).when(won > 0, float("inf"))
-    some = found.groupBy(*keys).agg(F.count("*").alias("num_trades"), F.avg((p > 0).cast("double")).alias("win_rate"), F.avg(F.when(p > 0, p)).alias("avg_win"), F.avg(F.when(p <= 0, p)).alias("avg_loss"), factor.alias("profit_factor"), F.sum(p).alias("total_pnl_dollars"), F.sum("fees_paid").alias("total_fees_paid"), F.sum("slippage_paid").alias("total_slippage_paid"))
-    return runs.select(*keys).distinct().join(some, list(keys), "left").fillna(0, ["num_trades", "total_pnl_dollars", "total_fees_paid", "total_slippage_paid"])
+    some = found.groupBy(*keys).agg(
+        F.count("*").alias("num_trades"),
+        F.avg((p > 0).cast("double")).alias("win_rate"),
+        F.avg(F.when(p > 0, p)).alias("avg_win"),
+        F.avg(F.when(p <= 0, p)).alias("avg_loss"),
+        factor.alias("profit_factor"),
+        F.sum(p).alias("total_pnl_dollars"),
+        F.sum("fees_paid").alias("total_fees_paid"),
+        F.sum("slippage_paid").alias("total_slippage_paid"),
+    )
+    zero = ["num_trades", "total_pnl_dollars", "total_fees_paid", "total_slippage_paid"]
+    return runs.select(*keys).distinct().join(some, list(keys), "left").fillna(0, zero)
 
 
 def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:

@@ -47,7 +47,9 @@ def resolve(df: DataFrame, w, capital: float) -> DataFrame:
     return df.withColumn("cash", prior * (1 - F.col("position") - F.col("fee_drag") - F.col("slippage_drag")))
 
 
-def ledger(df: DataFrame, keys: Sequence[str] = S.KEYS, fee: float = 0.001, capital: float = 10_000.0, slippage_bps: float = 5.0, min_holding: int = 0) -> DataFrame:
+def ledger(
+    df: DataFrame, keys: Sequence[str] = S.KEYS, fee: float = 0.001, capital: float = 10_000.0, slippage_bps: float = 5.0, min_holding: int = 0
+) -> DataFrame:
     """One row a bar and run: yesterday's signal is today's position; costs follow turnover; cash + units * close = equity."""
     w = S.by(keys)
     df = df.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0.0)))

@@ -29,7 +29,8 @@ def folds(bars: DataFrame, train: int, test: int, expanding: bool = False) -> Da
     n = bars.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") >= train + test)
     k = n.select("symbol", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - train) / test).cast("int") - 1)).alias("fold"))
     start = F.col("fold").cast("long") * test
-    return k.select("symbol", "fold", (F.lit(0).cast("long") if expanding else start).alias("train_start"), (start + train).alias("train_end"), (start + train).alias("test_start"), (start + train + test).alias("test_end"))
+    first, cut = F.lit(0).cast("long") if expanding else start, start + train
+    return k.select("symbol", "fold", first.alias("train_start"), cut.alias("train_end"), cut.alias("test_start"), (cut + test).alias("test_end"))
 
 
 def sliced(bars: DataFrame, ranges: DataFrame, role: str) -> DataFrame:
@@ -45,7 +46,8 @@ def runs(bars: DataFrame, candidates: Sequence, keys: Sequence[str]) -> DataFram
     base, names = bars.columns, [f"p{k}" for k in range(len(candidates))]
     for s, c in zip(candidates, names, strict=True):
         bars = s.add(bars, c, keys)
-    each = F.array(*[F.struct(F.lit(k).alias("param_id"), F.lit(s.name).alias("strategy"), F.col(c).alias("signal")) for k, (s, c) in enumerate(zip(candidates, names, strict=True))])
+    run = lambda k, s, c: F.struct(F.lit(k).alias("param_id"), F.lit(s.name).alias("strategy"), F.col(c).alias("signal"))
+    each = F.array(*[run(k, s, c) for k, (s, c) in enumerate(zip(candidates, names, strict=True))])
     return bars.select(*base, F.explode(each).alias("_r")).select(*base, "_r.*")
 
 
@@ -63,7 +65,8 @@ def walk_forward(
     score = E.summary(ledger(runs(sliced(bars, ranges, "train"), candidates, ("symbol", "fold")), keys, **costs), keys)
     order = Window.partitionBy("symbol", "fold").orderBy(F.col(metric).desc_nulls_last(), "param_id")
     chosen = score.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("symbol", "fold", "param_id", "strategy", F.col(metric).alias("score"))
-    tested = runs(sliced(bars, ranges, "test"), candidates, ("symbol", "fold")).join(chosen.select("symbol", "fold", "param_id"), ["symbol", "fold", "param_id"])
+    every = runs(sliced(bars, ranges, "test"), candidates, ("symbol", "fold"))
+    tested = every.join(chosen.select("symbol", "fold", "param_id"), ["symbol", "fold", "param_id"])  # only what was chosen has a ledger
     w = S.by(("symbol",), "global_idx")
     flat = resolve(ledger(tested, keys, **costs), w, capital).withColumn("bar_idx", F.row_number().over(w).cast("long") - 1)
     name = F.concat(F.lit("WalkForward("), F.first("strategy").over(S.upto(w)), F.lit(")"))
@@ -76,7 +79,8 @@ def fold_report(chosen: DataFrame, stitched: DataFrame) -> DataFrame:
     w = S.by(("symbol", "fold"))
     own = fold.withColumn("equity", S.running_product(1 + F.col("strategy_return"), w))
     done = E.summary(own, ("symbol", "fold", "param_id", "strategy"))
-    return done.select("symbol", "fold", "strategy", "sharpe", "total_return").join(chosen.select("symbol", "fold", F.col("score").alias("train_score")), ["symbol", "fold"])
+    trained = chosen.select("symbol", "fold", F.col("score").alias("train_score"))
+    return done.select("symbol", "fold", "strategy", "sharpe", "total_return").join(trained, ["symbol", "fold"])
 
 
 def stability(chosen: DataFrame) -> DataFrame:
@@ -107,7 +111,8 @@ def bootstrap_index(runs_: DataFrame, trials: int, block: int = 20, seed: int =
     keyed = keyed.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     start = F.floor(uniform(F.lit(str(seed)), F.col("trial").cast("string"), F.col("b").cast("string")) * (F.col("n") - block + 1)).cast("long")
     keyed = keyed.withColumn("start", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    return keyed.withColumn("step", F.col("b").cast("long") * block + F.col("o")).where("step < n").withColumn("idx", F.col("start") + F.col("o")).drop("b", "o", "start", "n")
+    keyed = keyed.withColumn("step", F.col("b").cast("long") * block + F.col("o")).where("step < n")
+    return keyed.withColumn("idx", F.col("start") + F.col("o")).drop("b", "o", "start", "n")
 
 
 def bootstrap(done: DataFrame, trials: int, block: int = 20, seed: int = 42, keys: Sequence[str] = E.RUN) -> DataFrame:
@@ -122,19 +127,29 @@ def bootstrap(done: DataFrame, trials: int, block: int = 20, seed: int = 42, key
 def trial_stats(paths: DataFrame, keys: Sequence[str] = E.RUN) -> DataFrame:
     w = S.by((*keys, "trial"), "step")
     df = paths.withColumn("_dd", F.col("equity") / F.max("equity").over(S.upto(w)) - 1)
-    return df.groupBy(*keys, "trial").agg(F.max_by("equity", "step").alias("final_equity"), F.min("_dd").alias("max_drawdown"), E.sharpe("strategy_return").alias("sharpe"), F.min("start").alias("start"))
+    return df.groupBy(*keys, "trial").agg(
+        F.max_by("equity", "step").alias("final_equity"),
+        F.min("_dd").alias("max_drawdown"),
+        E.sharpe("strategy_return").alias("sharpe"),
+        F.min("start").alias("start"),
+    )
 
 
 def percentiles(stats: DataFrame, keys: Sequence[str] = E.RUN, at: Sequence[int] = (5, 25, 50, 75, 95)) -> DataFrame:
     """Exact interpolated percentiles of each statistic, and the share of trials that end below their start."""
     p = lambda c: [F.expr(f"percentile({c}, {q / 100})").alias(f"{c}_p{q}") for q in at]
-    return stats.groupBy(*keys).agg(*p("final_equity"), *p("max_drawdown"), *p("sharpe"), F.avg((F.col("final_equity") < F.col("start")).cast("double")).alias("prob_loss"))
+    lost = (F.col("final_equity") < F.col("start")).cast("double")
+    return stats.groupBy(*keys).agg(*p("final_equity"), *p("max_drawdown"), *p("sharpe"), F.avg(lost).alias("prob_loss"))
 
 
 def actual(done: DataFrame, keys: Sequence[str] = E.RUN) -> DataFrame:
     """What the runs themselves came to: actual_final_equity, actual_max_drawdown, actual_sharpe."""
     found = E.drawdown(done, keys).groupBy(*keys)
-    return found.agg(F.max_by("equity", "bar_idx").alias("actual_final_equity"), F.min("drawdown").alias("actual_max_drawdown"), E.sharpe("strategy_return").alias("actual_sharpe"))
+    return found.agg(
+        F.max_by("equity", "bar_idx").alias("actual_final_equity"),
+        F.min("drawdown").alias("actual_max_drawdown"),
+        E.sharpe("strategy_return").alias("actual_sharpe"),
+    )
 
 
 def bootstrap_report(done: DataFrame, trials: int, block: int = 20, seed: int = 42, keys: Sequence[str] = E.RUN) -> DataFrame:
@@ -167,7 +182,8 @@ def perturbed(bars: DataFrame, trials: int, sigma: float, seed: int = 42) -> Dat
     """Each trial's bars: one factor 1 + N(0, sigma) a bar for the prices; volume is left alone."""
     df = bars.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     f = 1 + sigma * normal(F.lit(str(seed)), F.col("trial").cast("string"), F.col("symbol"), F.col("bar_idx").cast("string"))
-    return df.withColumn("_f", f).select("symbol", "trial", "timestamp", "bar_idx", *[(F.col(c) * F.col("_f")).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    prices = [(F.col(c) * F.col("_f")).alias(c) for c in ("open", "high", "low", "close")]
+    return df.withColumn("_f", f).select("symbol", "trial", "timestamp", "bar_idx", *prices, "volume")
 
 
 def noise_robustness(bars: DataFrame, strategy, trials: int, sigma: float, seed: int = 42, **costs) -> DataFrame:

@@ -83,7 +83,13 @@ def tick_bars(ticks: DataFrame) -> DataFrame:
     at = F.struct("ts", "event_id")
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     return ticks.groupBy(F.col("event_type").alias("symbol"), hour.alias("timestamp")).agg(
-        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.sum("value").alias("volume"), F.avg("value").alias("mean"))
+        F.min_by("value", at).alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", at).alias("close"),
+        F.sum("value").alias("volume"),
+        F.avg("value").alias("mean"),
+    )
 
 
 def index_bars(ticks: DataFrame) -> DataFrame:
@@ -93,7 +99,8 @@ def index_bars(ticks: DataFrame) -> DataFrame:
     z = F.try_divide(F.col("mean") - F.avg("mean").over(whole), F.stddev_samp("mean").over(whole))
     df = df.withColumn("z", F.coalesce(z, F.lit(0.0))).withColumn("close", 100 * F.exp(0.02 * F.sum("z").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     df = df.withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)))
-    return df.select("symbol", "timestamp", "bar_idx", "open", (F.greatest("open", "close") * 1.005).alias("high"), (F.least("open", "close") * 0.995).alias("low"), "close", "volume")
+    high, low = F.greatest("open", "close") * 1.005, F.least("open", "close") * 0.995
+    return df.select("symbol", "timestamp", "bar_idx", "open", high.alias("high"), low.alias("low"), "close", "volume")
 
 
 def uniform(*parts: Column | str, first: int = 1) -> Column:
@@ -106,18 +113,29 @@ def normal(*parts: Column | str) -> Column:
     return F.sqrt(-2 * F.ln(1 - uniform(*parts))) * F.cos(F.lit(2 * 3.141592653589793) * uniform(*parts, first=9))
 
 
-def synthetic_bars(spark: SparkSession, n: int = 730, start: str = "2020-01-01", price: float = 100.0, regime: int = 90, bull: float = 0.0015, bear: float = -0.0015, volatility: float = 0.02, seed: int = 42, symbol: str = "SYN") -> DataFrame:
-    """Geometric random walk whose drift alternates by regime; the seed alone decides every bar."""
+def synthetic_bars(
+    spark: SparkSession, n: int = 730, start: str = "2020-01-01", price: float = 100.0, regime: int = 90, bull: float = 0.0015, bear: float = -0.0015,
+    volatility: float = 0.02, seed: int = 42, symbol: str = "SYN", freq: str = "1 day",
+) -> DataFrame:
+    """Geometric random walk whose drift alternates by regime, a bar each ``freq`` (an interval such as 4 hour); the seed alone decides every bar."""
     w = Window.partitionBy("symbol").orderBy("bar_idx")
     i = F.col("bar_idx").cast("string")
     df = spark.range(n).select(F.lit(symbol).alias("symbol"), F.col("id").alias("bar_idx"))
     drift = F.when(F.floor(F.col("bar_idx") / regime) % 2 == 0, bull).otherwise(bear)
     df = df.withColumn("x", drift + volatility * normal(F.lit(f"{seed}:c"), i))
-    df = df.withColumn("close", price * F.exp(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(price)))
+    df = df.withColumn("close", price * F.exp(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    df = df.withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(price)))
     wick = F.abs(normal(F.lit(f"{seed}:w"), i)) * volatility / 2
     return df.select(
-        "symbol", F.expr(f"timestamp_ntz'{start}' + make_dt_interval(cast(bar_idx as int))").alias("timestamp"), "bar_idx", "open", (F.greatest("open", "close") * (1 + wick)).alias("high"), (F.least("open", "close") * (1 - wick)).alias("low"), "close",
-        (100 + 900 * uniform(F.lit(f"{seed}:v"), i)).alias("volume"))
+        "symbol",
+        F.expr(f"timestamp_ntz'{start}' + bar_idx * interval '{freq}'").alias("timestamp"),
+        "bar_idx",
+        "open",
+        (F.greatest("open", "close") * (1 + wick)).alias("high"),
+        (F.least("open", "close") * (1 - wick)).alias("low"),
+        "close",
+        (100 + 900 * uniform(F.lit(f"{seed}:v"), i)).alias("volume"),
+    )
 
 
 def append_jsonl(path: str, record: dict) -> None:
@@ -135,7 +153,8 @@ strategy_registry_name string, strategy_params string, initial_capital double, f
 
 def read_log(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """The first session header and all decisions in order of their bars; blank lines are skipped; no header, or a line that is no JSON, is an error."""
-    text = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.from_json("value", LOG).alias("r"), "value")
+    text = spark.read.text(path).where(F.trim("value") != "")
+    text = text.select(F.monotonically_increasing_id().alias("line"), F.from_json("value", LOG).alias("r"), "value")
     broken = text.where(F.col("r").isNull() | F.col("r.type").isNull()).orderBy("line").limit(1).collect()
     if broken:
         raise ValueError(f"not a line of a log: {broken[0]['value'][:100]}")

@@ -75,7 +75,8 @@ def decisions(history: DataFrame, strategy, **costs) -> DataFrame:
     df = ledger(strategy.add(indexed(history.drop("bar_idx"))), **costs)
     w = Window.partitionBy("symbol").orderBy(F.desc("bar_idx"))
     df = df.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return df.select("symbol", "bar_idx", F.col("timestamp").alias("bar_timestamp"), "close", "position", (F.col("turnover") > 0).alias("is_trade"), "equity", "cash", "units", "fee_drag", "slippage_drag")
+    traded, at = (F.col("turnover") > 0).alias("is_trade"), F.col("timestamp").alias("bar_timestamp")
+    return df.select("symbol", "bar_idx", at, "close", "position", traded, "equity", "cash", "units", "fee_drag", "slippage_drag")
 
 
 def equity_diff(live: DataFrame, backtested: DataFrame) -> DataFrame:
@@ -117,7 +118,8 @@ def run_stream(bars: DataFrame, strategy, history_path: str, out_path: str, chec
 
 def status_line(record: dict) -> str:
     trade = " (TRADE)" if record["is_trade"] else ""
-    return f"[{record['bar_timestamp']}] {record['strategy_name']}: position={record['position']:.2f} close={record['close']:.2f} equity={record['equity']:,.2f}{trade}"
+    money = f"position={record['position']:.2f} close={record['close']:.2f} equity={record['equity']:,.2f}"
+    return f"[{record['bar_timestamp']}] {record['strategy_name']}: {money}{trade}"
 
 
 class Session:
@@ -129,8 +131,9 @@ class Session:
     """
 
     def __init__(
-        self, spark: SparkSession, fetch: Callable[[], DataFrame], strategy, history_path: str, log_path: str, source: dict | None = None, entry: dict | None = None, costs: dict | None = None,
-        seconds: float | None = None, retry: dict | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], datetime] = lambda: datetime.now(UTC),
+        self, spark: SparkSession, fetch: Callable[[], DataFrame], strategy, history_path: str, log_path: str,
+        source: dict | None = None, entry: dict | None = None, costs: dict | None = None, seconds: float | None = None,
+        retry: dict | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], datetime] = lambda: datetime.now(UTC),
     ):
         self.spark, self.fetch, self.strategy, self.history_path, self.log_path = spark, fetch, strategy, history_path, log_path
         self.source, self.entry = dict(source or {}), dict(entry or {})
@@ -174,7 +177,8 @@ class Session:
         row = decisions(self.history(), self.strategy, **self.costs).collect()[0].asDict()  # one symbol, one row
         fresh.unpersist()
         stamp, polled = row.pop("bar_timestamp"), self.clock().isoformat()
-        record = {"polled_at": polled, "bar_timestamp": stamp.isoformat(), "strategy_name": self.strategy.name, **{k: v for k, v in row.items() if k not in ("symbol", "bar_idx")}}
+        money = {k: v for k, v in row.items() if k not in ("symbol", "bar_idx")}
+        record = {"polled_at": polled, "bar_timestamp": stamp.isoformat(), "strategy_name": self.strategy.name, **money}
         append_jsonl(self.log_path, {"type": "decision", **record})
         print(status_line(record))
         return record
