@@ -520,3 +520,11 @@ def test_components(spark, seed):
     assert sorted(map(tuple, label.collect())) == want(first)
     assert sorted(map(tuple, joined(label, table(more)).collect())) == want(first + more)
     assert components(table([])).count() == 0
+
+
+def test_pipeline_without_labels(spark):
+    """Where no row has a language, the language stage keeps all rows."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, None, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.language_id(spark, docs, "").count() == 2

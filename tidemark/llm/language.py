@@ -48,7 +48,7 @@ def letters(data: bytes) -> np.ndarray:
 
 
 def gram_counts(data: np.ndarray, begin: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, n-gram and count of every n-gram of 1 to ``longest`` (4 at most) letters; a word carries a blank at either side, alone no n-gram."""
+    """Row, n-gram and count of every n-gram of 1 to ``longest`` (3 at most) letters; a word carries a blank at either side, alone no n-gram."""
     if longest > 3:
         raise ValueError("three letters and a row number fill 64 bits")
     rows = len(begin) - 1
@@ -198,7 +198,8 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], profile:
     A text's ``profile`` most frequent n-grams are compared with each language's by out-of-place
     distance: the difference of ranks, or ``profile`` where the language lacks the n-gram.  The nearest
     language wins (ties: the first by name); score is 1 less its distance as a share of the most
-    possible.  Null, a text without letters, or no profiles at all: ``und``, score 0.
+    possible.  Null, a text without letters, or no profiles at all: ``und``, score 0.  Equal rows give equal rows, null ids are
+    carried; an empty table gives an empty result.
     """
     predict = predictor(profiles, profile, longest)
     given = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -33,6 +33,8 @@ class PieceEncoder:
         import sentencepiece
 
         self.library = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        if m.normalize("\ufb01 \uff21\t  x ") != "\u2581\ufb01\u2581\uff21\t\u2581\u2581x\u2581":
+            raise ValueError("the model normalises texts: they can't be encoded as they are")
         plain = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.piece = {i: m.id_to_piece(i) for i in plain}
         self.score = {self.piece[i]: m.get_score(i) for i in plain}
@@ -151,7 +153,8 @@ def encoder(path: str) -> PieceEncoder:
 def piece_round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Encodes every text, decodes the ids, and gives digests of both; a narrow map.
 
-    Null or empty text: the end id alone, decoded to the empty text.  doc_id is carried as it is.
+    Null or empty text: the end id alone, decoded to the empty text.  doc_id is carried as it is, so equal rows give equal rows; among
+    equal merges the leftmost goes first, as in the library; a text of any length is one round; an empty table gives an empty result.
     """
     model = model or public_tokenizers.path(PIECE_BPE)
 

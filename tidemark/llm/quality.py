@@ -102,7 +102,8 @@ def repetition_rules(docs: DataFrame, gram_share: dict[int, float] | None = None
     without space, tab, \\n, \\v, \\f or \\r.  For each length of ``gram_share`` the characters of words
     inside n-grams found twice or more are counted once, and so are those in lines found twice or
     more; a text whose share exceeds a limit is not kept.  Columns of SCHEMA follow the given ones
-    (given columns of those names are replaced).  Null or empty text: all counts 0, base_failed, not kept.
+    (given columns of those names are replaced).  Null or empty text: all counts 0, base_failed, not kept.  Equal rows give
+    equal rows, null ids are carried, a share that equals its limit is kept; an empty table gives an empty result.
     """
     share = dict(GRAM_SHARE if gram_share is None else gram_share)
     new = [x.strip().split()[0] for x in SCHEMA.split(",")]
