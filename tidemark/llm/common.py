@@ -64,7 +64,7 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def collect_garbage(spark: SparkSession, times: int = 3, pause: float = 0.5) -> None:
+def collect_garbage(spark: SparkSession, times: int = 4, pause: float = 0.5) -> None:
     """Lets Spark's cleaner drop the shuffle files of jobs that nothing refers to any more.
 
     Python's references reach the JVM with a delay, so it is asked more than once.

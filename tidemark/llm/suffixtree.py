@@ -1,4 +1,4 @@
-"""Operator 1: language-model scores from a probabilistic suffix tree."""
+"""Operator 1: language-model scores from a probabilistic suffix tree over words."""
 
 from __future__ import annotations
 
@@ -6,449 +6,342 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 from tidemark.llm.language import held_out
 
-#: Symbols of the longest context (every string counts; their number is limited by the symbols, not by the corpus).
-DEPTH = 4
-#: Times that a word and the word before it must occur together to count, at any size of the corpus.
-TWICE = 2
-#: Nats by which a context's distribution must improve on its parent's, over all its occurrences; discount of a token's count.
-GAIN, DISCOUNT = 12.0, 0.75
-#: Bytes of text of a scoring block.
+#: Words of the longest context; times that a string of two words or more must occur to count, at any size of the corpus.
+DEPTH, TWICE = 3, 2
+#: Nats by which a context's distribution must improve on that of its longest shorter state, over all its occurrences; discount of a count.
+GAIN, DISCOUNT = 2.0, 0.75
+#: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
-_SIDE = 64  # symbols with a column of their own: the 62 most frequent bytes, the rest as one
-_SLICE = 1 << 15  # contexts whose distributions are held at once
-_END = 10  # the byte that no word has: the end token
+#: A context of more occurrences is a state untested (GAIN is nothing beside them), and its strings are dealt by themselves.
+#: There can't be more than BUSIEST of them a length: the limit grows where the corpus would allow more.
+BUSY, BUSIEST = 1_000_000, 200_000
+#: Steps of a nat in which a block names a probability to the table that tests contexts.
+STEPS = 256.0
+#: Low bits that a context's key does without beside its part, and a string's beside its context (pairs, whose contexts have the most followers; longer ones).
+CONTEXT_CUT, PAIR_CUT, LONG_CUT = np.uint64(16), np.uint64(24), np.uint64(32)
 _END_KEY = np.uint64(0)
-_PAIR = -2  # in place of a word's number: the row is a pair's
+_NEXT = np.uint64(0xD6E8FEB86659FD93)
+STATE = "block long, held array<boolean>, sizes array<int>, ids binary, keys binary"
+TOLD = "level int, block long, part int, blob binary, context long, seen long, kinds long"
 
 
-def stream(data: np.ndarray, begin: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts as symbols: each word and one space, then the end; before each text, ``depth`` ends as its context.
+def tokens(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of all texts, one after another (each text's words, then its end), and how many each text has."""
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in C.rounds(begin):
+        part = C.LOWER[data[begin[a] : begin[b]]]
+        start, end, row = C.words(part, begin[a : b + 1] - begin[a])
+        key = np.full(len(start) + b - a, _END_KEY)
+        key[np.arange(len(start)) + row] = C.hash_runs(part, start, end)
+        keys.append(key)
+        sizes.append(np.bincount(row, minlength=b - a) + 1)
+    return np.concatenate(keys), np.concatenate(sizes)
 
-    Returns symbols, which of them count, and of each token its begin, its row and its key (word hash; 0 for the end), in order.
+
+def root(c: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """The empty context's distribution over V + 1 outcomes, from counts (0: the unknown token).
+
+    Discounts free a mass of DISCOUNT * V / N: one half goes to the unknown token, the other evenly to the known ones.
     """
-    rows = len(begin) - 1
-    data = C.LOWER[data]
-    start, end, row = C.words(data, begin)
-    size = end - start
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    to = at[:-1] + depth * (row + 1) + row
-    n = int(at[-1]) + rows * (depth + 1)
-    out = np.full(n, _END, np.uint8)
-    if len(start):
-        inner = np.concatenate([[0], np.cumsum(size)])
-        within = np.arange(inner[-1]) - np.repeat(inner[:-1], size)
-        out[within + np.repeat(to, size)] = data[within + np.repeat(start, size)]
-        out[to + size] = 32
-    count = np.bincount(row, minlength=rows)
-    per = np.bincount(row, size + 1, rows).astype(np.int64) + depth + 1
-    last = np.cumsum(per) - 1
-    real = np.ones(n, bool)
-    for k in range(depth):
-        real[last - per + 1 + k] = False
-    token = np.concatenate([to, last])
-    key = np.concatenate([C.hash_runs(data, start, end), np.full(rows, _END_KEY)])
-    of = np.concatenate([row, np.arange(rows)])
-    order = np.concatenate([np.arange(len(to)) + row, np.cumsum(count) + np.arange(rows)])  # each end after its words
-    token_, key_, of_ = np.empty_like(token), np.empty_like(key), np.empty_like(of)
-    token_[order], key_[order], of_[order] = token, key, of
-    return out, real, token_, of_, key_, last
-
-
-def grams(symbols: np.ndarray, real: np.ndarray, depth: int) -> np.ndarray:
-    """Codes of a symbol (low byte) and its context, nearest first."""
-    at = np.flatnonzero(real)
-    code = symbols[at].astype(np.uint64)
-    for k in range(1, depth + 1):
-        code |= symbols[at - k].astype(np.uint64) << np.uint64(8 * k)
-    return code
-
-
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    key, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(fresh)
-    return [(key[at], np.add.reduceat(n, at))] if len(at) else []
-
-
-class _Sums:
-    """Counts of keys by kind, added up inside a task; what outgrows ``flush`` entries goes out as it is."""
-
-    def __init__(self, flush: int):
-        self.flush, self.held = flush, {}
-
-    def add(self, kind: int, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held = self.held.setdefault(kind, [])
-        held += _added([(key, np.ones(len(key), np.int64))])
-        if sum(len(k) for k, _ in held) > self.flush:
-            self.held[kind] = _added(held)
-            if len(self.held[kind][0][0]) > self.flush // 2:
-                yield from self.out(kind)
-
-    def out(self, kind: int) -> Iterator[pa.RecordBatch]:
-        held = self.held.pop(kind, [])
-        for key, n in _added(held) if held else []:
-            for a in range(0, len(key), 200_000):
-                k = key[a : a + 200_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 200_000])], names=["kind", "key", "n"])
-
-
-def corpus_counts(docs: DataFrame, depth: int = DEPTH, flush: int = 4_000_000) -> DataFrame:
-    """kind (0: word, 1: string of depth+1 symbols), key, n over all texts; sums are made in tasks first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(flush)
-        for batch in batches:
-            data, begin = C.flat(batch.column("text"))
-            for a, b in C.rounds(begin):
-                symbols, real, _, _, key, _ = stream(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a], depth)
-                yield from sums.add(0, key)
-                yield from sums.add(1, grams(symbols, real, depth))
-        yield from sums.out(0)
-        yield from sums.out(1)
+    if not total:
+        return np.ones(len(c))
+    free = DISCOUNT * kinds / total / 2
+    return np.where(c > 0, (c - DISCOUNT) / total + free / kinds, free)
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
+class Block:
+    """The tokens of some texts, and what the corpus has told of their strings of growing length.
 
-def pair_counts(docs: DataFrame, keys, flush: int = 4_000_000) -> DataFrame:
-    """key, n of each word that follows another (an end: before a text's first word), both among the broadcast ``keys``.
+    A string is a context and a token; ``index`` numbers the block's distinct strings (of the length reached) that end at each
+    token, after an end that stands before the first text.  ``known``: found TWICE or more in training texts.
+    """
 
-    A key holds the numbers of the two among ``keys``: of the one before in the high half, of the word in the low one.
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, held: np.ndarray, sizes: np.ndarray):
+        n = int(sizes.sum())
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.learn = ~held[self.row]
+        end = int(np.flatnonzero(keys == _END_KEY)[0])
+        self.index = np.concatenate([[end], ids.astype(np.int64)])
+        self.ids, self.words, self.key = self.index[1:], keys, keys
+        self.level = 1
+
+    def ask_words(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        own = np.bincount(self.ids, self.learn, len(self.key)).astype(np.uint32)
+        part, order = self._word_order(parts)
+        for p, a, b in C.runs(part[order]):
+            yield p, C.pack(np.diff(self.key[order[a:b]], prepend=np.uint64(0)), own[order[a:b]])
+
+    def _word_order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        part = (C.mix(self.key) % np.uint64(parts)).astype(np.int32)
+        return part, np.lexsort((self.key, part))
+
+    def words_told(self, blobs: list[bytes], parts: int, total: int, kinds: int) -> None:
+        _, order = self._word_order(parts)
+        c = np.empty(len(self.key), np.int64)
+        c[order] = np.concatenate([C.unpack(x)[0] for x in blobs])
+        self.count, self.known, self.c = c, (c >= TWICE)[self.index], c[self.ids]
+        self.p = root(self.c, total, kinds)
+
+    def _strings(self, parts: int, busy: int) -> None:
+        """The distinct strings one token longer whose context and whose own suffix are known, and all known contexts (entries).
+
+        Entries go by part and key, strings by entry; a busy context has an entry in each part that has strings of it.
+        """
+        self.after = np.flatnonzero(self.known[:-1] & (self.place >= self.level - 1))  # tokens with a known context
+        context = self.index[:-1][self.after]
+        self.both = np.flatnonzero(self.known[1:][self.after])
+        at = self.after[self.both]
+        code, first, self.back = C.distinct(context[self.both] * np.int64(len(self.words)) + self.ids[at])
+        self.first = at[first]
+        of = code // len(self.words)
+        self.longer = C.mix(self.key[of] * _NEXT + self.words[code % len(self.words)])
+        there = np.zeros(len(self.key), bool)
+        there[context] = True
+        calm = np.flatnonzero(there & (self.count <= busy))
+        spread = np.flatnonzero(self.count[of] > busy)
+        split, back = np.unique((self.longer[spread] % np.uint64(parts)).astype(np.int64) * len(self.key) + of[spread], return_inverse=True)
+        self.entry_of = np.concatenate([calm, split % len(self.key)])
+        self.entry_part = np.concatenate([(C.mix(self.key[calm] + np.uint64(1)) % np.uint64(parts)).astype(np.int64), split // len(self.key)]).astype(np.int32)
+        order = np.lexsort((self.key[self.entry_of], self.entry_part))
+        self.entry_of, self.entry_part = self.entry_of[order], self.entry_part[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        calm_place = np.zeros(len(self.key), np.int64)
+        calm_place[calm] = place[: len(calm)]
+        entry = calm_place[of]
+        entry[spread] = place[len(calm) :][back]
+        self.order = np.argsort(entry, kind="stable")
+        self.per = np.bincount(entry, minlength=len(order))
+
+    def ask(self, parts: int, busy: int) -> Iterator[tuple[int, bytes]]:
+        """For each part: contexts (key, count, strings of each), strings (key, own count, what their suffix's state gives)."""
+        self._strings(parts, busy)
+        own = np.bincount(self.back, self.learn[self.after[self.both]], len(self.longer)).astype(np.uint32)[self.order]
+        given = np.minimum(np.rint(-np.log(self.p[self.first]) * STEPS), 65535).astype(np.uint16)[self.order]
+        key = (self.longer >> (PAIR_CUT if self.level == 1 else LONG_CUT))[self.order]
+        context = self.key[self.entry_of] >> CONTEXT_CUT
+        n, per = self.count[self.entry_of].astype(np.uint64), self.per.astype(np.uint32)
+        ends = np.concatenate([[0], np.cumsum(self.per)])
+        for p, a, b in C.runs(self.entry_part):
+            x, y = ends[a], ends[b]
+            yield p, C.pack(np.diff(context[a:b], prepend=np.uint64(0)), n[a:b], per[a:b], key[x:y], own[x:y], given[x:y])
+
+    def told(self, blobs: list[bytes], parts: int, busy: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Takes the counts of the strings and the rest of each context's mass (NaN: no state); hot: keys, seen and kinds of the busy contexts."""
+        self._strings(parts, busy)
+        got = [C.unpack(x) for x in blobs]
+        m, rest = np.zeros(len(self.longer), np.int64), np.full(len(self.key), np.nan)
+        if got:
+            m[self.order] = np.concatenate([x[0] for x in got])
+            rest[self.entry_of] = np.concatenate([x[1] for x in got])
+        keys, seen, kinds = hot
+        name = np.flatnonzero(self.count > busy)
+        if len(name) and len(keys):
+            mine = self.key[name] >> CONTEXT_CUT
+            at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            ok = keys[at] == mine
+            rest[name[ok]] = 1 - (seen[at[ok]] - DISCOUNT * kinds[at[ok]]) / self.count[name[ok]]
+        context = self.index[:-1][self.after]
+        left = rest[context]
+        share = np.zeros(len(self.after))
+        share[self.both] = np.maximum(m[self.back] - DISCOUNT, 0) / self.count[context[self.both]]
+        state = np.flatnonzero(~np.isnan(left))
+        at = self.after[state]
+        self.p[at] = self.p[at] * left[state] + share[state]
+        index, known = np.zeros(len(self.index), np.int64), np.zeros(len(self.index), bool)
+        at = self.after[self.both] + 1
+        index[at], known[at] = self.back, (m >= TWICE)[self.back]
+        self.index, self.known, self.key, self.count = index, known, self.longer, m
+        self.level += 1
+
+
+def block_states(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """STATE and doc_id of blocks of about ``block_bytes``, as texts lie in the input: no row is shuffled.
+
+    ids: each token's number among the block's keys, the most frequent first.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def block(number: int, parts: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+        table = pa.Table.from_batches([b for b, _, _ in parts]).combine_chunks()
+        key, size = np.concatenate([np.zeros(1, np.uint64), *[k for _, k, _ in parts]]), np.concatenate([s for _, _, s in parts])
+        keys, _, ids = C.distinct(key)  # the end is always there
+        often = np.argsort(-np.bincount(ids), kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
+        keys, ids = keys[often], rank[ids]
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        flat = lambda name: table[name].combine_chunks() if table[name].num_chunks else pa.array([], schema.field(name).type)
+        plain = lambda x: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+        fields = [pa.array([number]), one(plain(flat("doc_id"))), one(plain(flat("held"))), one(pa.array(size, pa.int32())), pa.array([C.pack(ids[1:].astype(np.uint32))]), pa.array([C.pack(keys)])]
+        return pa.RecordBatch.from_arrays(fields, names=["block", "doc_ids", "held", "sizes", "ids", "keys"])
+
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(flush)
+        number, parts, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
             data, begin = C.flat(batch.column("text"))
-            for a, b in C.rounds(begin):
-                part = data[begin[a] : begin[b]]
-                start, end, row = C.words(part, begin[a : b + 1] - begin[a])
-                now = np.full(len(start) + b - a, _END_KEY)  # each text's words, then its end
-                now[np.arange(len(start)) + row] = C.hash_runs(C.LOWER[part], start, end)
-                now = numbers(keys.value, now)
-                before = np.concatenate([numbers(keys.value, np.array([_END_KEY])), now[:-1]])
-                both = (now >= 0) & (before >= 0)
-                yield from sums.add(0, (before[both] << 32 | now[both]).view(np.uint64))
-        yield from sums.out(0)
-
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def numbers(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted key among ascending ``keys``, -1 where it is not there."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-class WordStates:
-    """The tree's states over words: the empty context, and each word that is retained as one.
-
-    keys, n: frequent words, ascending, and their counts; pairs, m: counts of pairs of them (see pair_counts); total: tokens.
-    A word is retained if over all its occurrences the distribution after it gains GAIN nats on the one
-    over tokens.  A counted pair has its discounted share; the rest goes by the tokens' distribution.
-    """
+            parts.append((batch.select(["doc_id", "held"]), *tokens(data, begin)))
+            size += len(data)
+            if size >= block_bytes:
+                yield block(number, parts, batch.schema)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield block(number, parts, batch.schema)
+
+    return docs.select("doc_id", "held", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, {STATE.split(', ', 1)[1]}")
+
+
+def _answer(level: int, part: int, blocks: list[int], blobs: list[bytes]) -> pa.Table:
+    n = len(blocks)
+    return pa.table({"level": pa.array([level] * n, pa.int32()), "block": pa.array(blocks, pa.int64()), "part": pa.array([part] * n, pa.int32()), "blob": pa.array(blobs, pa.binary()),
+                     "context": pa.nulls(n, pa.int64()), "seen": pa.nulls(n, pa.int64()), "kinds": pa.nulls(n, pa.int64())})
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, m: np.ndarray, total: int, gain: float = GAIN):
-        order = np.argsort(pairs)
-        pairs, m = pairs[order], m[order]
-        before, now = pairs >> 32, pairs & 0xFFFFFFFF
-        seen, kinds = np.bincount(before, m, len(keys)), np.bincount(before, minlength=len(keys))
-        rest = 1 - (seen - DISCOUNT * kinds) / n
-        share = (m - DISCOUNT) / n[before]
-        parent = (n[now] - DISCOUNT) / max(total, 1)
-        better = np.bincount(before, m * np.log(share / parent + rest[before]), len(keys)) + (n - seen) * np.log(rest)
-        keep = (kinds > 0) & (better >= gain)
-        self.keys, self.rest = keys, np.where(keep, np.log(rest), 0.0)
-        self.pairs, self.share = pairs[keep[before]], np.log(share[keep[before]])
-
-    @classmethod
-    def told(cls, keys: np.ndarray, n: np.ndarray, number: np.ndarray, rest: np.ndarray, pairs: np.ndarray, m: np.ndarray) -> WordStates:
-        """What a block needs of word_states: its words, ascending, with counts, numbers and rest (NaN: no state), and its pairs, by those numbers, with counts."""
-        out = cls.__new__(cls)
-        order = np.argsort(number, kind="stable")
-        before, now = (order[numbers(number[order], x)] for x in (pairs >> 32, pairs & 0xFFFFFFFF))  # a block's pairs are of its words
-        keep = ~np.isnan(rest[before])
-        pairs, share = before[keep] << 32 | now[keep], np.log((m[keep] - DISCOUNT) / n[before[keep]])
-        order = np.argsort(pairs)
-        out.keys, out.rest, out.pairs, out.share = keys, np.nan_to_num(rest), pairs[order], share[order]
-        return out
-
-    def log(self, tokens: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Natural logs of probabilities after the word before, from those (``tokens``) without context; ``number``: of each token among keys, or -1."""
-        if not len(self.keys) or not len(number):
-            return tokens
-        before = np.concatenate([numbers(self.keys, np.array([_END_KEY])), number[:-1]])
-        out = tokens + np.where(before >= 0, self.rest[before], 0)
-        at = np.flatnonzero((before >= 0) & (number >= 0))
-        found = numbers(self.pairs, before[at] << 32 | number[at])
-        at, found = at[found >= 0], found[found >= 0]
-        out[at] = np.logaddexp(out[at], self.share[found])
-        return out
-
-
-class SuffixTree:
-    """States (retained contexts) with smoothed next-symbol distributions.
-
-    counts[d]: (codes, numbers) of strings of d context symbols and a next one.  A context is retained if
-    over its occurrences its distribution gains GAIN nats on its parent's (one symbol shorter), and with it all its suffixes.
-    Distributions are smoothed into the parent's by the number of kinds that follow (Witten-Bell), the
-    root's into the uniform one over bytes.
-    """
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], gain: float = GAIN):
-        depth = len(counts) - 1
-        code, n = counts[0]
-        total = np.zeros(256)
-        total[code.astype(np.int64)] = n
-        top = np.argsort(-total, kind="stable")[: _SIDE - 2]
-        self.column = np.full(256, _SIDE - 2, np.uint8)
-        self.column[top] = np.arange(len(top))
-        share = np.full(_SIDE, 1 / 256)
-        share[_SIDE - 2], share[_SIDE - 1] = (256 - len(top)) / 256, 0
-        self.rest = np.log10(1 / (256 - len(top)))
-
-        def table(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            code, n = counts[d]
-            col, ok = self.column[(code & np.uint64(255)).astype(np.int64)], np.ones(len(code), bool)
-            ctx = np.zeros(len(code), np.int64)
-            for k in range(1, d + 1):
-                c = self.column[((code >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)]
-                ok &= c < _SIDE - 2
-                ctx += c.astype(np.int64) * _SIDE ** (k - 1)
-            ctx, col, n_ = ctx[ok], col[ok], n[ok]
-            order = np.argsort(ctx, kind="stable")
-            return ctx[order], col[order], n_[order]
-
-        def dense(names: np.ndarray, strings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-            ctx, col, n = strings
-            a, b = np.searchsorted(ctx, names[0], "left"), np.searchsorted(ctx, names[-1], "right")
-            of = np.searchsorted(names, ctx[a:b])
-            at = np.flatnonzero(names[np.minimum(of, len(names) - 1)] == ctx[a:b])
-            out = np.zeros((len(names), _SIDE))
-            np.add.at(out, (of[at], col[a:b][at]), n[a:b][at])
-            return out
-
-        def smoothed(dense: np.ndarray, parent: np.ndarray) -> np.ndarray:
-            kinds = (dense > 0).sum(1, keepdims=True)
-            return (dense + kinds * parent) / np.maximum(dense.sum(1, keepdims=True) + kinds, 1)
-
-        empty = table(0)
-        root = smoothed(dense(np.zeros(1, np.int64), empty), share[None]) if len(empty[0]) else share[None]
-        names, dist, keep = [np.zeros(1, np.int64)], [root], [np.ones(1, bool)]
-        for d in range(1, depth + 1):
-            strings = table(d)
-            ctx = np.unique(strings[0])
-            up = numbers(names[-1], ctx % _SIDE ** (d - 1))
-            ctx, up = ctx[up >= 0], up[up >= 0]
-            gains, held = [np.zeros(0, bool)], [np.zeros((0, _SIDE))]
-            for a in range(0, len(ctx), _SLICE):
-                n = dense(ctx[a : a + _SLICE], strings)
-                parent = dist[-1][up[a : a + _SLICE]]
-                p = smoothed(n, parent)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gains.append(np.where(n > 0, n * np.log(p / parent), 0).sum(1) >= gain)
-                held.append(p if d < depth else p[gains[-1]])  # the longest contexts are nobody's parents
-            names.append(ctx)
-            dist.append(np.concatenate(held))
-            keep.append(np.concatenate(gains))
-        for d in range(depth, 1, -1):  # a state's suffixes are states
-            short = names[d][keep[d]] % _SIDE ** (d - 1)
-            keep[d - 1][np.searchsorted(names[d - 1], short)] = True
-        self.contexts = [x[k] for x, k in zip(names, keep, strict=True)]
-        with np.errstate(divide="ignore"):
-            self.log = np.log10(np.concatenate([*[x[k] for x, k in zip(dist[:-1], keep, strict=False)], dist[-1]])).astype(np.float32)
-        self.depth = depth
-        self._table: np.ndarray | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_table": None}
-
-    def states(self, column: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The longest retained suffix before each place."""
-        if self._table is None:
-            table, base = np.zeros(_SIDE**self.depth, np.int32), 0
-            for d, ctx in enumerate(self.contexts):
-                if d:
-                    table.reshape(-1, _SIDE**d)[:, ctx] = base + np.arange(len(ctx))
-                base += len(ctx)
-            self._table = table
-        code = np.zeros(len(at), np.int64)
-        for k in range(1, self.depth + 1):
-            code += column[at - k].astype(np.int64) << (6 * (k - 1))
-        return self._table[code]
-
-    def log10(self, symbols: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """log10 of each counted symbol's probability, 0 for the rest."""
-        column, out = self.column[symbols], np.zeros(len(symbols))
-        at = np.flatnonzero(real)
-        now = column[at]
-        out[at] = self.log[self.states(column, at), now] + np.where(now == _SIDE - 2, self.rest, 0)
-        return out
-
-
-def learn_tree(counts: DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """The tree of a table of corpus_counts.  The driver gets every distinct string of a depth with its count."""
-    strings = counts.where("kind = 1")
-    mask = F.array(*[F.lit((1 << 8 * (d + 1)) - 1) for d in range(depth + 1)])
-    got = strings.select("key", "n", F.posexplode(mask).alias("d", "mask")).groupBy("d", F.col("key").bitwiseAND(F.col("mask")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    d, key, n = (got[c].to_numpy() for c in ("d", "key", "n"))
-    return SuffixTree([(key[d == k].view(np.uint64), n[d == k]) for k in range(depth + 1)])
-
-
-def numbered(words: DataFrame) -> DataFrame:
-    """key, n, number: words found twice or more have numbers from 0 on (2^31 at most), the others -1; a written table."""
-    row = F.monotonically_increasing_id()
-    often = C.written(words.where(F.col("n") >= TWICE).select("key", "n", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("row")), "often")
-    sizes = sorted((r["part"], r["count"]) for r in often.groupBy("part").count().collect())  # a row a partition
-    first, begin = [], 0
-    for part, size in sizes:
-        first.append((part, begin))
-        begin += size
-    if begin >= 1 << 31:
-        raise ValueError("a pair of words fills 64 bits")
-    first = words.sparkSession.createDataFrame(first, "part long, first long")
-    often_ = often.join(F.broadcast(first), "part").select("key", "n", (F.col("first") + F.col("row")).alias("number"))
-    out = C.written(often_.unionByName(words.where(F.col("n") < TWICE).select("key", "n", F.lit(-1).cast("long").alias("number"))), "words")
-    C.forget(words.sparkSession, often)
-    return out
-
-
-def word_states(words: DataFrame, pairs: DataFrame, total: int, gain: float = GAIN) -> DataFrame:
-    """number, rest (a log) of each word that is a state; the test of WordStates over tables of any size.
-
-    words: key, n, number; pairs: pair (see pair_counts), m, one row each.
+def _told(level: int, block: int, part: int, context: np.ndarray, seen: np.ndarray, kinds: np.ndarray) -> pa.Table:
+    n = len(context)
+    return pa.table({"level": pa.array([level] * n, pa.int32()), "block": pa.array([block] * n, pa.int64()), "part": pa.array([part] * n, pa.int32()), "blob": pa.nulls(n, pa.binary()),
+                     "context": context.astype(np.uint64).view(np.int64), "seen": seen.astype(np.int64), "kinds": kinds.astype(np.int64)})
+
+
+def settle_words(table: pa.Table) -> pa.Table:
+    """Counts of a part's words, for each block that asked; in a row of block -1 the part's tokens and distinct words."""
+    asked = [C.unpack(x) for x in table["blob"].to_pylist()]
+    sizes = [len(k) for k, _ in asked]
+    keys, _, back = C.distinct(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in asked]))
+    c = np.bincount(back, np.concatenate([n for _, n in asked]), len(keys)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    part = table["part"][0].as_py()
+    blobs = [C.pack(c[back[b - n : b]].astype(np.uint64)) for n, b in zip(sizes, ends.tolist(), strict=True)]
+    return pa.concat_tables([_answer(1, part, table["block"].to_pylist(), blobs), _told(1, -1, part, np.zeros(1), np.array([c.sum()]), np.array([(c > 0).sum()]))])
+
+
+def settle_strings(table: pa.Table, level: int, gain: float, busy: int) -> pa.Table:
+    """Counts of a part's strings and the test of its contexts, for each block that asked; rows of block -1: sums of busy contexts.
+
+    A context is a state if over all its occurrences the distribution after it gains ``gain`` nats on its longest shorter state's.
+    A string found TWICE or more has its discounted share; the rest goes by the shorter state's distribution.
     """
-    n = words.where("number >= 0").select("number", "n")
-    split = pairs.select(F.shiftright("pair", 32).alias("before"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("now"), "m")
-    seen = split.groupBy("before").agg(F.sum("m").alias("seen"), F.count("*").alias("kinds"))
-    seen = seen.join(n.withColumnsRenamed({"number": "before", "n": "n_before"}), "before").withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("n_before"))
-    each = split.join(n.withColumnsRenamed({"number": "now", "n": "n_now"}), "now").join(seen.select("before", "n_before", "rest"), "before")
-    ratio = (F.col("m") - DISCOUNT) / F.col("n_before") / ((F.col("n_now") - DISCOUNT) / float(max(total, 1)))
-    better = each.groupBy("before").agg(F.sum(F.col("m") * F.log(ratio + F.col("rest"))).alias("better"))
-    kept = better.join(seen, "before").where(F.col("better") + (F.col("n_before") - F.col("seen")) * F.log("rest") >= gain)
-    return kept.select(F.col("before").alias("number"), F.log("rest").alias("rest"))
-
-
-def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    asked = [C.unpack(x) for x in table["blob"].to_pylist()]
+    part = table["part"][0].as_py()
+    entry = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])
+    n_entry, per, key, own, given = (np.concatenate([x[k] for x in asked]) for k in range(1, 6))
+    contexts, first, of_entry = C.distinct(entry)
+    n = n_entry[first].astype(np.float64)
+    of = np.repeat(of_entry, per)
+    _, first, back = C.distinct(C.mix(contexts[of] + key * _NEXT))
+    m = np.bincount(back, own, len(first))
+    m[m < TWICE] = 0
+    hit = np.flatnonzero(m)
+    m_, of_ = m[hit], of[first[hit]]
+    seen, kinds = np.bincount(of_, m_, len(contexts)), np.bincount(of_, minlength=len(contexts))
+    rest = 1 - (seen - DISCOUNT * kinds) / n
+    ratio = (m_ - DISCOUNT) / n[of_] * np.exp(given[first[hit]] / STEPS) + rest[of_]
+    better = np.bincount(of_, m_ * np.log(ratio), len(contexts)) + (n - seen) * np.log(rest)
+    rest = np.where((kinds > 0) & (better >= gain) & (n <= busy), rest, np.nan).astype(np.float32)
+    m = m.astype(np.uint64)
+    blobs, a, x = [], 0, 0
+    for e, _, p, k, _, _ in asked:
+        b, y = a + len(e), x + len(k)
+        blobs.append(C.pack(m[back[x:y]], rest[of_entry[a:b]]))
+        a, x = b, y
+    hot = np.flatnonzero((n > busy) & (kinds > 0))
+    return pa.concat_tables([_answer(level, part, table["block"].to_pylist(), blobs), _told(level, -1, part, contexts[hot], seen[hot], kinds[hot])])
+
+
+def suffix_tree_scores(docs: DataFrame, learned_from, depth: int = DEPTH, gain: float = GAIN, block_bytes: int = BLOCK_BYTES, busy: int = BUSY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
-    ``learned_from``: a condition on rows; the model comes from those that meet it.  The model has the
-    base's V + 1 outcomes: the tokens seen in training, and one for any other.  Discounts free a mass of
-    DISCOUNT * V / N.  A seen token has its discounted share, plus half that mass times the suffix tree's
-    probability of its spelling given what stands before it; the unknown token has the other half.  After
-    a word that is a state, the pairs counted have their discounted shares, and this distribution the
-    rest.  The outcomes add to one at most.
-
-    Word counts and strings are summed in tasks, then by key.  Texts are dealt into blocks of about
-    ``block_bytes`` by a hash; each block asks for the counts of its distinct words, then, with its own
-    counts, for those of its distinct pairs of words, so neither vocabulary, pairs nor texts are
-    broadcast; the tree over bytes is.  Every pair found twice or more counts.
-    Null text is empty (one token, the end); equal rows are scored alike; nothing to learn from:
-    the uniform tree scores, base_score 0; empty table: empty result.
+    ``learned_from``: a condition on rows; the model comes from those that meet it.  The model has the base's V + 1 outcomes.
+    Contexts are the up to ``depth`` tokens before a token, in its text and the end before it; every string found TWICE or more
+    counts, at any size.  A context is a state if its distribution gains ``gain`` nats on that of its longest shorter state; a token
+    is scored by the longest state that ends before it, smoothed into the shorter ones and the root (see root, settle_strings).
+
+    Texts become blocks of tokens where they lie.  Length by length a block asks for its distinct strings whose context and whose
+    suffix were found TWICE, by parts of the contexts' keys; a part adds up the counts, tests its contexts, and answers each block
+    in the order it was asked, so no key travels back.  Nothing is broadcast but the sums of busy contexts, BUSIEST at most a
+    length.  Words are compared by 64-bit hashes, contexts by 48 bits beside
+    their part, strings by their context's and 40 bits (pairs) or 32.
+    Null text is empty (one token, the end); equal rows are scored alike; null doc_id is carried; nothing to learn from: one
+    outcome, scores 0; an empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", (~learned_from).alias("held_out"))
-    counts = C.written(corpus_counts(rows.where(~F.col("held_out")), depth), "counts")
-    words = numbered(counts.where("kind = 0").select("key", "n"))
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(learn_tree(counts, depth))
-    C.forget(spark, counts)
-    blocks = max(1, -(-C.text_bytes(docs) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}  # of each block: the distinct keys so far, and later ones to be merged into them
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            data, begin = C.flat(batch.column("text"))
-            for a, b in C.rounds(begin):
-                part = data[begin[a] : begin[b]]
-                start, end, row = C.words(part, begin[a : b + 1] - begin[a])
-                key = C.hash_runs(C.LOWER[part], start, end)
-                of = block[a:b][row]
-                for x in np.unique(of):
-                    held.setdefault(x, [np.zeros(0, np.uint64)]).append(np.unique(key[of == x]))
-                    if sum(map(len, held[x][1:])) > max(1 << 18, len(held[x][0])):
-                        held[x] = [np.unique(np.concatenate(held[x]))]
-        for x, parts in held.items():
-            key = np.append(np.unique(np.concatenate(parts)), _END_KEY)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), x, np.int32)), pa.array(key.view(np.int64))], names=["block", "key"])
-
-    def count_pairs(texts: pa.Table, known: pa.Table) -> pa.Table:
-        """The block's distinct pairs of numbered words, and how often each is in texts that the model learns from (0: asked for only)."""
-        order = np.argsort(keys := known["key"].to_numpy().view(np.uint64))
-        keys, number = keys[order], known["number"].to_numpy()[order]
-        learn = ~texts["held_out"].to_numpy()
-        data, begin = C.flat(texts["text"])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in C.rounds(begin):
-            part = data[begin[a] : begin[b]]
-            start, end, row = C.words(part, begin[a : b + 1] - begin[a])
-            key, of = np.full(len(start) + b - a, _END_KEY), np.empty(len(start) + b - a, np.int64)
-            key[np.arange(len(start)) + row] = C.hash_runs(C.LOWER[part], start, end)
-            of[np.arange(len(start)) + row] = row
-            of[np.cumsum(np.bincount(row, minlength=b - a) + 1) - 1] = np.arange(b - a)
-            at = numbers(keys, np.append(_END_KEY, key))
-            all_ = np.where(at >= 0, number[at], -1) if len(keys) else at
-            before, now = all_[:-1], all_[1:]
-            both = (before >= 0) & (now >= 0)
-            held += _added([(before[both] << 32 | now[both], learn[a:b][of[both]].astype(np.int64))])
-            if sum(len(k) for k, _ in held[1:]) > max(1 << 18, len(held[0][0])):
-                held = _added(held)
-        pair, n = _added(held)[0] if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"block": pa.array(np.full(len(pair), texts["block"][0].as_py() if len(texts) else 0, np.int32)), "pair": pair, "n": n})
-
-    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        word = told["number"].to_numpy() > _PAIR
-        pairs, m = (told[c].to_numpy()[~word] for c in ("key", "n"))
-        keys, n, number, rest = (told[c].to_numpy()[word] for c in ("key", "n", "number", "rest"))
-        order = np.argsort(keys := keys.view(np.uint64))
-        keys, n, number, rest = keys[order], n[order], number[order], rest[order]
-        after = WordStates.told(keys, n, number, rest, pairs, m)
-        keys, n = np.append(keys, np.uint64(2**64 - 1)), np.append(n, 0)
-        data, begin = C.flat(texts["text"])
-        out = []
-        for a, b in C.rounds(begin):
-            symbols, real, token, of, key, _ = stream(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a], depth)
-            at = np.searchsorted(keys, key)
-            known_ = keys[at] == key
-            c = np.where(known_, n[at], 0)
-            spelled = np.add.reduceat(tree.value.log10(symbols, real), token) if len(token) else np.zeros(0)
-            if total:
-                with np.errstate(divide="ignore"):
-                    seen = np.log(np.maximum(c - DISCOUNT, 0) / total)
-                free = np.log(DISCOUNT * kinds / total / 2)  # half to spellings of known tokens, half to the unknown token
-                p = np.where(c > 0, np.logaddexp(seen, free + spelled * np.log(10)), free)
-                p = after.log(p, np.where(known_, at, -1)) / np.log(10)
-            else:
-                p = spelled
-            base = np.log10((c + 1) / (total + kinds + 1))
-            out.append([np.bincount(of, minlength=b - a), np.bincount(of, c > 0, b - a).astype(np.int64), np.bincount(of, base, b - a), np.bincount(of, p, b - a)])
-        n_tokens, n_known, base, p = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), total, np.int64), "base_score": base, "score": p})
-
-    asked = dealt.mapInArrow(ask, "block int, key long")
-    found = asked.join(words, "key").select("block", "key", "number")
-    by_block = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(count_pairs, "block int, pair long, n long")
-    same = Window.partitionBy("pair")
-    pairs = by_block.withColumn("m", F.sum("n").over(same)).withColumn("own", F.min("block").over(same) == F.col("block")).where(F.col("m") >= TWICE)
-    pairs = C.written(pairs.select("block", "pair", "m", "own"), "pairs")
-    states = word_states(words, pairs.where("own"), total)
-    told = C.written(words.join(states, "number", "left").select("key", "n", "number", "rest"), "told")
-    del by_block, found, states
-    spark.sparkContext._jvm.System.gc()  # shuffle files of tables that are written by now can go
-    found = asked.join(told, "key").select("block", "key", "n", "number", "rest")
-    found = found.unionByName(pairs.select("block", F.col("pair").alias("key"), F.col("m").alias("n"), F.lit(_PAIR).cast("long").alias("number"), F.lit(None).cast("double").alias("rest")))
+    rows = docs.select("doc_id", (~learned_from).alias("held"), "text")
+    state = C.written(block_states(rows, block_bytes), "blocks")
+    parts = max(1, state.count() // 2)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def rebuilt(row: pa.Table, told: pa.Table, facts: list) -> Block:
+        """The block of a state's row, and all it has been told, level by level."""
+        (ids,), (keys,) = C.unpack(row["ids"][0].as_py()), C.unpack(row["keys"][0].as_py())
+        block = Block(ids, keys, np.array(row["held"][0].as_py(), bool), np.array(row["sizes"][0].as_py(), np.int64))
+        told = told.sort_by([("level", "ascending"), ("part", "ascending")])
+        level, blobs = told["level"].to_numpy(), told["blob"].to_pylist()
+        for k, fact in enumerate(facts, 1):
+            mine = blobs[np.searchsorted(level, k) : np.searchsorted(level, k, "right")]
+            if k == 1:
+                block.words_told(mine, parts, *fact)
+            else:
+                block.told(mine, parts, fact[0], fact[1:])
+        return block
+
+    def asking(number: int, asked) -> pa.Table:
+        asked = list(asked)
+        return pa.table({"part": pa.array([p for p, _ in asked], pa.int32()), "block": pa.array([number] * len(asked), pa.int64()), "blob": pa.array([b for _, b in asked], pa.binary())})
+
+    @C.lean
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (pa.Table.from_batches([batch.slice(k, 1)]) for k in range(batch.num_rows)):
+                yield from asking(row["block"][0].as_py(), rebuilt(row, pa.table({"level": [], "part": [], "blob": []}), []).ask_words(parts)).to_batches()
+
+    asked = state.select("block", "held", "sizes", "ids", "keys").mapInArrow(words, "part int, block long, blob binary")
+    tells = [C.written(asked.groupBy("part").applyInArrow(settle_words, TOLD), "told")]
+    total, kinds = tells[0].where("block = -1").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    facts: list = [(total, kinds)]
+    limit = max(busy, total // BUSIEST)
+
+    def answers() -> DataFrame:
+        out = tells[0]
+        for x in tells[1:]:
+            out = out.unionAll(x)
+        return out.where("block >= 0").select("level", "block", "part", "blob")
+
+    def longer(known: list):
+        return lambda row, told: asking(row["block"][0].as_py(), rebuilt(row, told, known).ask(parts, limit))
+
+    def settled(level: int):
+        return lambda table: settle_strings(table, level, gain, limit)
+
+    for level in range(2, depth + 2):
+        asked = state.drop("doc_ids").groupBy("block").cogroup(answers().groupBy("block")).applyInArrow(longer(list(facts)), "part int, block long, blob binary")
+        tells.append(C.written(asked.groupBy("part").applyInArrow(settled(level), TOLD), "told"))
+        sums = tells[-1].where("block = -1").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("kinds").alias("kinds")).toArrow()  # BUSIEST rows at most
+        key = sums["context"].to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        facts.append((limit, key[order], sums["seen"].to_numpy()[order], sums["kinds"].to_numpy()[order]))
+        del asked
+        C.collect_garbage(spark)  # shuffle files of tables that are written by now can go
+
+    final = list(facts)
+
+    def score(row: pa.Table, told: pa.Table) -> pa.Table:
+        block = rebuilt(row, told, final)
+        n = row["sizes"][0].as_py()
+        add = lambda x: np.bincount(block.row, x, len(n))
+        base = add(np.log10((block.c + 1) / (total + kinds + 1)))
+        columns = {"doc_id": row["doc_ids"].combine_chunks().flatten(), "held_out": row["held"].combine_chunks().flatten(), "n_tokens": pa.array(n, pa.int64()), "n_known": add(block.c > 0).astype(np.int64)}
+        return pa.table({**columns, "train_tokens": np.full(len(n), total, np.int64), "base_score": base, "score": add(np.log10(block.p))})
+
+    return state.groupBy("block").cogroup(answers().groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
