@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.operators import clean, evaluate as E, ledger as L, strategies as G, validate as V
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import bars as B
 from tidemark.streaming import live
 
@@ -112,6 +113,29 @@ def test_bootstrap(spark):
     assert one.count() == 27 and one.where("idx < 0 or idx > 8").count() == 0
 
 
+def test_bootstrap_paths(spark):
+    """Every step takes the return of the bar that its draw names, a null one too, and the last block is cut at the run's length."""
+    runs = {("A", "x"): 23, ("A", "y"): 23, ("B", "x"): 7, ("C", "x"): 2}
+    back = {(*k, i): None if i == 5 else (i * 37 % 11 - 5) / 100 for k, n in runs.items() for i in range(n)}
+    rows = [(*k, 50.0 + k[2], r) for k, r in back.items()]
+    done = spark.createDataFrame(rows, "symbol string, strategy string, bar_idx long, equity double, strategy_return double")
+    index = V.bootstrap_index(spark.createDataFrame([(*k, n) for k, n in runs.items()], "symbol string, strategy string, n long"), 3, 4)
+    want = {}
+    for r in index.orderBy("symbol", "strategy", "trial", "step").collect():
+        x, before = back[r.symbol, r.strategy, r.idx], want.get((r.symbol, r.strategy, r.trial, r.step - 1), (0, 0, 50.0))[2]
+        want[r.symbol, r.strategy, r.trial, r.step] = (r.idx, x, before * (1 + (x or 0.0)))
+    found = V.bootstrap(done, 3, 4).collect()
+    got = {(r.symbol, r.strategy, r.trial, r.step): (r.idx, r.strategy_return, r.equity) for r in found}
+    assert len(found) == len(got) == len(want) == 3 * (23 + 23 + 7) and {r.start for r in found} == {50.0}
+    assert all(got[k][:2] == v[:2] and abs(got[k][2] - v[2]) < 1e-9 for k, v in want.items())
+
+
+def test_drawdowns_broadcast_nothing(spark):
+    """A broadcast table takes 64 MB of the driver, however few its rows: three were too many for its 750 MB."""
+    df = QUERIES["mc_ensemble_drawdowns"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_live(spark, tmp_path):
     assert [live.timeframe_seconds(c) for c in ("1m", "5m", "1h", "4h", "1d", "1w")] == [60, 300, 3600, 14400, 86400, 604800]
     with pytest.raises(ValueError):

@@ -100,26 +100,39 @@ def sweep(bars: DataFrame, candidates: Sequence, holds: Sequence[int] = (0,), **
     return E.summary(done, keys).join(done.groupBy(*keys).agg((F.sum("fee_drag") + F.sum("slippage_drag")).alias("cost_drag")), list(keys))
 
 
+def _blocks(runs_: DataFrame, trials: int, block: int, seed: int) -> DataFrame:
+    """A row a run, trial and block: ``b`` is its place in the trial, ``first`` the bar it begins with."""
+    keyed = runs_.where(F.col("n") >= block).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    keyed = keyed.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
+    first = F.floor(uniform(F.lit(str(seed)), F.col("trial").cast("string"), F.col("b").cast("string")) * (F.col("n") - block + 1)).cast("long")
+    return keyed.withColumn("first", first)
+
+
 def bootstrap_index(runs_: DataFrame, trials: int, block: int = 20, seed: int = 42) -> DataFrame:
     """trial, step, idx: moving blocks of ``block`` bars (1: single bars) drawn anew for each trial until n steps are full.
 
     runs_: keys and n.  Draws depend on (seed, trial, block number) alone, so equal lengths share them.
     """
-    if block < 1:
-        block = 1
-    keyed = runs_.where(F.col("n") >= block).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    keyed = keyed.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    start = F.floor(uniform(F.lit(str(seed)), F.col("trial").cast("string"), F.col("b").cast("string")) * (F.col("n") - block + 1)).cast("long")
-    keyed = keyed.withColumn("start", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    block = max(block, 1)
+    keyed = _blocks(runs_, trials, block, seed).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     keyed = keyed.withColumn("step", F.col("b").cast("long") * block + F.col("o")).where("step < n")
-    return keyed.withColumn("idx", F.col("start") + F.col("o")).drop("b", "o", "start", "n")
+    return keyed.withColumn("idx", F.col("first") + F.col("o")).drop("b", "o", "first", "n")
 
 
 def bootstrap(done: DataFrame, trials: int, block: int = 20, seed: int = 42, keys: Sequence[str] = E.RUN) -> DataFrame:
-    """trial paths: keys, trial, step, equity, strategy_return, from the run's first equity."""
+    """trial paths: keys, trial, step, equity, strategy_return, from the run's first equity; a run's bars are numbered from 0 without gaps.
+
+    Blocks are joined and dealt out by trial whole, and only then become bars.  The join merges: a broadcast table takes a
+    page of 64 MB of the driver at least, however few its rows.
+    """
+    block = max(block, 1)
     n = done.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("equity", "bar_idx").alias("start"))
-    index = bootstrap_index(n.select(*keys, "n"), trials, block, seed)
-    drawn = index.join(done.select(*keys, F.col("bar_idx").alias("idx"), "strategy_return"), [*keys, "idx"]).join(n.drop("n"), list(keys))
+    bars = F.collect_list(F.struct("strategy_return")).over(S.by(keys).rowsBetween(0, block - 1))  # structs: a null is a bar too
+    pieces = done.select(*keys, F.col("bar_idx").alias("first"), bars.alias("_bars")).hint("merge")
+    drawn = _blocks(n, trials, block, seed).join(pieces, [*keys, "first"]).repartition(*keys, "trial")
+    drawn = drawn.select(*keys, "trial", "b", "first", "n", "start", F.posexplode("_bars").alias("o", "_bar"))
+    step, idx = F.col("b").cast("long") * block + F.col("o"), F.col("first") + F.col("o")
+    drawn = drawn.select(*keys, idx.alias("idx"), "trial", step.alias("step"), "_bar.strategy_return", "start", "n").where("step < n").drop("n")
     w = S.by((*keys, "trial"), "step")
     return drawn.withColumn("equity", F.col("start") * S.running_product(1 + F.col("strategy_return"), w))
 
@@ -154,7 +167,7 @@ def actual(done: DataFrame, keys: Sequence[str] = E.RUN) -> DataFrame:
 
 def bootstrap_report(done: DataFrame, trials: int, block: int = 20, seed: int = 42, keys: Sequence[str] = E.RUN) -> DataFrame:
     """Percentiles of the trials beside the actual figures, a row a run; runs of equal length share their draws."""
-    return percentiles(trial_stats(bootstrap(done, trials, block, seed, keys), keys), keys).join(actual(done, keys), list(keys))
+    return percentiles(trial_stats(bootstrap(done, trials, block, seed, keys), keys), keys).join(actual(done, keys).hint("merge"), list(keys))
 
 
 def sample_paths(paths: DataFrame, n: int = 100) -> DataFrame:
