@@ -445,6 +445,39 @@ def test_pipeline(spark, tmp_path, docs):
     assert kept == want
 
 
+def test_language_learns_from_all(spark):
+    """Profiles and the least score come from every labelled text: other ids, or other tasks, give the same."""
+    r = random.Random(9)
+    syllables = {"xa": ["th", "er", "on", "an", "is"], "yb": ["ção", "lh", "os", "ei"]}
+    make = lambda k: " ".join("".join(r.choice(syllables[k]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 9)))
+    data = [(i, make(k), k) for i, k in enumerate(["xa"] * 4000 + ["yb"] * 500)] + [(9000, None, "xa"), (9001, "es", None), (9002, "1", "xa")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(docs, 40)
+    grams = collections.Counter()
+    for _, t, k in data:
+        for w in (t or "").split() if k == "xa" else []:
+            if w.isalpha():
+                for n in (1, 2, 3):
+                    padded = w if n == 1 else f" {w} "
+                    grams.update((n, padded[j : j + n]) for j in range(len(padded) - n + 1))
+    code = lambda n, g: (sum((0 if c == " " else ord(c)) << 16 * (n - 1 - j) for j, c in enumerate(g)) << 2) | n
+    assert profiles["xa"] == [c for _, c in sorted((-v, code(n, g)) for (n, g), v in grams.items())[:40]]
+    scores = sorted(x.score for x in language.identify_language(docs.where("lang is not null"), profiles).collect() if x.lang_pred != "und")
+    least = scores[-(-len(scores) // 20) - 1]
+    assert len(scores) == 4500 and 0 <= least - language._low_end(docs, profiles) <= 1 / language.STEPS
+    limit = language.learn_limit(docs, profiles)
+    assert limit > 0
+    for other in (docs.withColumn("doc_id", F.col("doc_id") + 10**6), docs.repartition(7)):
+        assert language.learn_profiles(other, 40) == profiles == language.learn_profiles(other, 40, held=50) and language.learn_limit(other, profiles) == limit
+
+
+def test_language_sums_counts():
+    """Counts of one language's n-gram are summed, other languages' stay apart; nothing gives nothing."""
+    found = language._summed(np.array([1, 0, 1, 1]), np.array([7, 7, 7, 5]), np.array([2, 3, 4, 1]))
+    assert [x.tolist() for x in found] == [[0, 1, 1], [7, 5, 7], [3, 1, 6]]
+    assert [len(x) for x in language._summed(*[np.zeros(0, np.int64)] * 3)] == [0, 0, 0]
+
+
 def test_pipeline_language_limit(spark):
     """Gibberish and languages that were not learned go, whatever their label; short clean texts stay."""
     import corpus_pipeline as P

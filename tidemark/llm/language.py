@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-#: n-grams of a profile; letters of the longest n-gram; labelled documents a language that it learns from (about; more are sampled by a hash of doc_id).
-PROFILE, LONGEST, SAMPLE = 300, 3, 3000
+#: n-grams of a profile; letters of the longest n-gram.
+PROFILE, LONGEST = 300, 3
 SCHEMA = "lang_pred string, score double"
 #: Letters that one round covers.
 ROUND = 1 << 17
-#: For the pipeline's rule (see learn_limit): share of labelled texts that may lie below the low end of clean scores, and of random ones above the high end of theirs; random texts drawn.
-TAIL, DRAWN = 0.05, 400
+#: Counted n-grams that a task holds before it sums those alike.
+HELD = 1 << 19
+#: For the pipeline's rule (see learn_limit): share of labelled texts that may lie below the low end of clean scores, and of random ones above the high end of theirs; random texts drawn; steps that scores are counted by.
+TAIL, DRAWN, STEPS = 0.05, 400, 10_000
 
 
 def _fold_table() -> np.ndarray:
@@ -100,39 +102,47 @@ def _row_rounds(begin: np.ndarray) -> Iterator[tuple[int, int]]:
             yield x, min(b, x + 60_000)
 
 
-def sampled(labelled: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
-    """doc_id, lang, text of about ``sample`` labelled documents a language, chosen by a hash of doc_id (None: of all)."""
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    if sample is None:
-        return rows
-    share = rows.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))  # a row a language
-    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+def _summed(key: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of each key's n-grams, summed; by key and n-gram."""
+    order = np.lexsort((gram, key))
+    key, gram, n = key[order], gram[order], n[order]
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
+    at = np.flatnonzero(fresh)
+    return key[at], gram[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def learn_profiles(labelled: DataFrame, profile: int = PROFILE, longest: int = LONGEST, sample: int | None = SAMPLE) -> dict[str, list[int]]:
-    """Each language's most frequent n-grams, in rank order.
+def learn_profiles(labelled: DataFrame, profile: int = PROFILE, longest: int = LONGEST, held: int = HELD) -> dict[str, list[int]]:
+    """Each language's most frequent n-grams, in rank order, over all rows with text and lang.
 
-    Counts are summed in tasks first, so a shuffle carries distinct n-grams; ``profile`` n-grams a
-    language come to the driver.  With ``sample``, about that many documents a language are read,
-    chosen by a hash of doc_id; None reads all.  Rows without text or lang are left out.
+    Counts are summed in tasks first, which hold ``held`` of them at most, so a shuffle carries about a task's distinct
+    n-grams; ``profile`` n-grams a language come to the driver.
     """
-    rows = sampled(labelled, sample)
+    rows = labelled.where("text is not null and lang is not null")
 
     @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            key, gram, n = parts.pop()
+            names = pa.DictionaryArray.from_arrays(pa.array(key), pa.array(list(numbers), pa.string())).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
+
         for batch in batches:
             data, begin = C.flat(batch.column("text"))
-            lang = np.array(batch.column("lang").to_pylist(), object)
+            lang = np.array([numbers.setdefault(str(x), len(numbers)) for x in batch.column("lang").to_pylist()], np.int64)
             for a, b in _row_rounds(begin):
-                names, of = np.unique(lang[a:b].astype(str), return_inverse=True)
                 row, gram, count = gram_counts(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a], longest)
-                order = np.lexsort((gram, of[row]))
-                which, gram, count = of[row][order], gram[order], count[order]
-                fresh = np.ones(len(gram), bool)
-                fresh[1:] = (gram[1:] != gram[:-1]) | (which[1:] != which[:-1])
-                at = np.flatnonzero(fresh)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[which[at]].tolist(), pa.string()), pa.array(gram[at]), pa.array(np.add.reduceat(count, at))], names=["lang", "gram", "n"])
+                parts.append(_summed(lang[a:b][row], gram, count))
+                if sum(len(x[1]) for x in parts) > held:
+                    parts[:] = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                    if len(parts[0][1]) > held // 2:
+                        yield out()
+        if parts:
+            parts[:] = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+            yield out()
 
     counts = rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -172,17 +182,44 @@ def predictor(profiles: dict[str, list[int]], profile: int = PROFILE, longest: i
     return predict
 
 
-def learn_limit(labelled: DataFrame, profiles: dict[str, list[int]], sample: int | None = SAMPLE) -> float:
+def _low_end(labelled: DataFrame, profiles: dict[str, list[int]]) -> float | None:
+    """The score, rounded down to a step, that all but TAIL of the labelled texts with letters reach; None without any.
+
+    Every such text counts; a task gives a row a step at most, so how rows lie in tasks changes nothing.
+    """
+    predict = predictor(profiles)
+
+    @C.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            data, begin = C.flat(batch.column("text"))
+            for a, b in _row_rounds(begin):
+                lang, score = predict(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a])
+                known = np.array(lang, object) != "und"
+                found += np.bincount((np.clip(score[known], 0, 1) * STEPS).astype(np.int64), minlength=STEPS + 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["step", "n"])
+
+    rows = labelled.where("text is not null and lang is not null").select("text").mapInArrow(run, "step long, n long")
+    counts = sorted(rows.groupBy("step").agg(F.sum("n").alias("n")).collect())  # a row a step at most
+    if not counts:
+        return None
+    total = np.cumsum([r["n"] for r in counts])
+    return counts[int(np.searchsorted(total, np.ceil(TAIL * total[-1])))]["step"] / STEPS
+
+
+def learn_limit(labelled: DataFrame, profiles: dict[str, list[int]]) -> float:
     """The least score of a text in one of the languages: half way from what random letters reach to what labelled texts fall to.
 
     The letters are the profiles' own, drawn alike often, in words of five on average, 20 to 2000 letters a text; all but TAIL of such texts
-    score less than the one end, all but TAIL of the sampled labelled texts more than the other.  Where the two
+    score less than the one end, all but TAIL of all labelled texts reach the other.  Where the two
     don't lie apart, or nothing was learned, nothing can be told: 0.
     """
     alphabet = sorted({chr(g >> 2) for grams in profiles.values() for g in grams if g & 3 == 1})
     if not alphabet:
         return 0.0
-    low = identify_language(sampled(labelled, sample), profiles).where("lang_pred <> 'und'").agg(F.percentile_approx("score", TAIL, 10_000)).first()[0]
+    low = _low_end(labelled, profiles)
     draw, made = np.random.default_rng(8), []
     for n in np.exp(draw.uniform(np.log(20), np.log(2000), DRAWN)).astype(int):
         letter = draw.choice(alphabet, n)

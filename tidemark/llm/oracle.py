@@ -123,7 +123,7 @@ SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'key' AS
 
 
 def language_sql(profile: int = PROFILE, longest: int = LONGEST) -> str:
-    """Operator 8, where no language has more labelled documents than it learns from: ranks of n-grams, and distances by a join."""
+    """Operator 8: ranks of n-grams, and distances by a join."""
     held = f"{_crc32(_bytes(chr(99) + 'oalesce(doc_id::varchar, ' + chr(39) * 2 + ')'))} % 5 = 0"
     grams = lambda n: f"SELECT r, {n} AS n, substr({'w' if n == 1 else chr(39) + ' ' + chr(39) + ' || w || ' + chr(39) + ' ' + chr(39)}, j, {n}) AS g"
     padded = [f"{grams(n)} FROM (SELECT r, w, unnest(range(1, length(w) + {1 if n == 1 else 4 - n})) AS j FROM w)" for n in range(1, longest + 1)]
